@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_runs, simhash
+from . import line_runs, mixing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_shard_by_bytes": sharding.op1_shard_by_bytes,
+        "op5_mix_sources": mixing.op5_mix_sources,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_line_dedup": line_runs.op8_line_dedup,
     }

@@ -77,3 +77,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return _directed(out)
+
+
+def spread_starts(df: DataFrame, group: list[str], amount: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the column ``name``: the sum of ``amount`` over the rows of the
+    same ``group`` that come before, in the order of MD5(doc_id), doc_id, ties.
+
+    Two levels, so that no group is ever in one task: each group is cut into ranges
+    of the hash; sums of the ranges, a table of as many rows as groups times shuffle
+    partitions, give each range its start, and a window runs inside each range."""
+    ranges = parallelism(df.sparkSession)
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    first = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
+    rows = df.withColumn("_order", order).withColumn("_range", F.floor(first * ranges / F.lit(1 << 32)).cast("int"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, "_range").agg(F.sum(amount).alias("_sum"))
+    sums = sums.select(*group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*group, "_range").orderBy("_order", "doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(amount).over(within), F.lit(0))
+    out = rows.join(sums, [*group, "_range"]).withColumn(name, (F.col("_base") + own).cast("long"))
+    return out.select(*df.columns, name)
