@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_runs, mixing, sharding, simhash
+from . import decontamination, line_runs, mixing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_shard_by_bytes": sharding.op1_shard_by_bytes,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_line_dedup": line_runs.op8_line_dedup,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_runs.OP8_SQL}
+    return {"op3_decontamination": decontamination.OP3_SQL, "op8_line_dedup": line_runs.OP8_SQL}

@@ -62,12 +62,15 @@ def draw(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
-def permuted(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+def permuted(index: Column, n: Column, key: Column) -> Column:
+    return F.pandas_udf(permutation, "long")(index, n, key)
+
+
+def permutation(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
     """Where a pseudorandom permutation of 0 to n-1, one for each key, sends index:
     a Feistel network over an even number of bits, walked until it is below n."""
     x, n, key = (s.to_numpy(dtype=np.uint64) for s in (index, n, key))
-    half = np.uint64(1) * np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2).astype(np.float64))).astype(np.uint64) + np.uint64(2)) // np.uint64(2)).astype(np.uint64)
+    half = (np.ceil(np.log2(np.maximum(n, 2).astype(np.float64))).astype(np.uint64) + np.uint64(2)) // np.uint64(2)
     mask = (np.uint64(1) << half) - np.uint64(1)
     todo = np.arange(len(x))
     out = x.copy()
@@ -150,7 +153,6 @@ class Mix:
         return found.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).unionByName(empty)
 
 
-@F.pandas_udf("string")
 def words_kept(text: pd.Series, spans: pd.Series) -> pd.Series:
     """The text from the first to the last word of each span (pairs of word
     numbers), the pieces joined by a line end. One span over all is the text."""
@@ -189,7 +191,7 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.when(whole, all_).otherwise(F.col("spans")).alias("_spans"))
     rows = docs.dropDuplicates(["doc_id", "text", "source"])
     same = rows.doc_id.eqNullSafe(kept._id) & (F.xxhash64(rows.text) == kept._hash) & rows.source.eqNullSafe(kept._source)
-    out = rows.join(kept, same).withColumn("text", words_kept("text", "_spans"))
+    out = rows.join(kept, same).withColumn("text", F.pandas_udf(words_kept, "string")("text", "_spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
