@@ -49,11 +49,12 @@ class Hasher:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
 
 
-def batches(texts: Iterable[bytes], size: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of neighbouring texts of about ``size`` bytes: (number of the first, texts)."""
+def batches(texts: Iterable[bytes], size: int = PIECE, count: int = 1 << 15) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of up to ``count`` neighbouring texts of about ``size`` bytes: (number
+    of the first, texts)."""
     first, run, total = 0, [], 0
     for n, t in enumerate(texts):
-        if run and total + len(t) > size:
+        if run and (total + len(t) > size or len(run) == count):
             yield first, run
             first, run, total = n, [], 0
         run.append(t)
@@ -66,14 +67,20 @@ class Words:
     """The words of some texts: for each word its text's number, its byte range in
     ``data`` (all texts, mapped through ``table``, zero bytes between them) and a
     64-bit hash. ``is_word`` and ``table`` have 256 entries; byte 0 is no word.
-    Long data goes through the hasher in pieces cut between words."""
+    With ``longest``, words of more bytes are cut into pieces of as many. Long data
+    goes through the hasher in pieces cut between words."""
 
-    def __init__(self, texts: list[bytes], is_word: np.ndarray, table: np.ndarray):
+    def __init__(self, texts: list[bytes], is_word: np.ndarray, table: np.ndarray, longest: int = 0):
         self.data = table[np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)]
         self.text_starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))[:-1]
         inside = is_word[self.data]
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         self.starts, self.ends = edges[::2], edges[1::2]
+        if longest:
+            parts = -(-(self.ends - self.starts) // longest)
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            self.starts, ends = np.repeat(self.starts, parts) + nth * longest, np.repeat(self.ends, parts)
+            self.ends = np.minimum(self.starts + longest, ends)
         self.text = np.searchsorted(self.text_starts, self.starts, side="right") - 1
         #: number of the first word of each text, and one past the last
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
