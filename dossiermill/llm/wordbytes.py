@@ -93,6 +93,21 @@ class Words:
             self.hash[lo:hi] = mix(piece.of(self.starts[lo:hi] - at, self.ends[lo:hi] - at))
             lo = hi
 
+    def prefixes(self, lengths: tuple[int, ...]) -> list[np.ndarray]:
+        """For each length the hash of each word's first so many bytes (of the whole
+        word if it is shorter)."""
+        out = [np.zeros(len(self.starts), dtype=np.uint64) for _ in lengths]
+        lo = 0
+        while lo < len(self.starts):
+            at = self.starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.ends, at + PIECE, side="right")))
+            piece = Hasher(self.data[at : self.ends[hi - 1]])
+            starts, ends = self.starts[lo:hi] - at, self.ends[lo:hi] - at
+            for n, of in zip(lengths, out, strict=True):
+                of[lo:hi] = mix(piece.of(starts, np.minimum(starts + n, ends)) + np.uint64(n))
+            lo = hi
+        return out
+
     def word(self, n: int) -> bytes:
         return self.data[self.starts[n] : self.ends[n]].tobytes()
 
