@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_runs, mixing, order_minhash, sharding, simhash
+from . import decontamination, language_id, line_runs, mixing, order_minhash, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_mix_sources": mixing.op5_mix_sources,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_line_dedup": line_runs.op8_line_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_order_minhash": order_minhash.op10_order_minhash,
     }
 
