@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_runs, mixing, order_minhash, sharding, simhash, toxicity
+from . import decontamination, language_id, line_runs, mixing, order_minhash, repeats, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_shard_by_bytes": sharding.op1_shard_by_bytes,
         "op2_language_id": language_id.op2_language_id,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op4_suffix_dedup": repeats.op4_suffix_dedup,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_line_dedup": line_runs.op8_line_dedup,
