@@ -12,6 +12,13 @@ with itself: those fingerprints go through their neighbourhoods instead. Two
 fingerprints within two bits have a common value within one bit of both, so
 linking all that emit the same value to the least of them gives the same
 components with 65 rows a fingerprint.
+
+Blocks of a fingerprint serve a few differing bits only. A similarity of 0.8 is 12
+bits of 64, and any choice of blocks that 12 bits cannot break is too short to join
+on. ``one_of_each_group`` therefore takes its blocks from the text: of the shingles'
+hashes the KEPT_SHINGLES least, of which such texts share most. Under each block
+every fingerprint meets the least and the greatest, and the Hamming distance of the
+whole fingerprints decides.
 """
 
 from __future__ import annotations
@@ -28,17 +35,23 @@ from . import common
 
 BLOCKS = 4
 CROWDED = 64
+KEPT_SHINGLES = 16
 
 
-def fingerprints(texts: pd.Series, words: int) -> np.ndarray:
-    """int64 fingerprint of each text; null counts as a text without words."""
+def fingerprints(texts: pd.Series, words: int, low: list[np.ndarray] | None = None) -> np.ndarray:
+    """int64 fingerprint of each text; null counts as a text without words. ``low``
+    gets the KEPT_SHINGLES least hashes of each text."""
     from xxhash import xxh64_intdigest
 
     out = np.zeros(len(texts), dtype=np.uint64)
+    none = np.zeros(0, dtype=np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for i, text in enumerate(texts):
         tokens = text.encode().lower().split() if text else ()
+        least = none
         if not tokens:
+            if low is not None:
+                low.append(least.view(np.int64))
             continue
         joined = b" ".join(tokens)
         ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
@@ -47,10 +60,15 @@ def fingerprints(texts: pd.Series, words: int) -> np.ndarray:
         spans = zip(starts[:n].tolist(), ends[len(tokens) - n :].tolist(), strict=True)
         ones, done = np.zeros(64, dtype=np.int64), 0
         while block := [xxh64_intdigest(joined[a:b], 42) for a, b in _take(spans, 1 << 16)]:
-            bits = np.unpackbits(np.array(block, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            block = np.array(block, dtype="<u8")
+            if low is not None:
+                least = np.unique(np.concatenate((least, block)))[:KEPT_SHINGLES]
+            bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones += bits.sum(axis=0, dtype=np.int64)
             done += len(block)
         out[i] = weights[ones * 2 > done].sum(dtype=np.uint64)
+        if low is not None:
+            low.append(least.view(np.int64))
     return out.view(np.int64)
 
 
@@ -128,6 +146,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, crowded:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each group of near duplicates: the
+    one with the smallest doc_id (then text hash; null doc_ids last). Two texts are
+    linked if they share a block and their fingerprints agree in ``similarity`` of the
+    bits or more; equal fingerprints always are. Texts without words are one group.
+    Columns stay as they are."""
+    most_bits = int(64 * (1 - similarity) + 1e-9)
+
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        low: list[np.ndarray] = []
+        fps = fingerprints(texts, words, low)
+        return pd.DataFrame({"fp": fps, "low": low})
+
+    sketched = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(sketch, "fp long, low array<long>")("text").alias("s"))
+    marked = common.stored(sketched.select("doc_id", "text_hash", "s.*"))
+    pairs = common.stored(marked.select("fp", F.explode("low").alias("block")).distinct())
+    ends = pairs.groupBy("block").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
+    met = pairs.join(ends, "block").select(F.col("fp").alias("u"), F.explode(F.array("least", "most")).alias("v"))
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most_bits
+    roots = common.components(met.where((F.col("u") != F.col("v")) & close).distinct())
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = marked.groupBy("fp").agg(F.min(row).alias("first"))
+    rooted = first.join(roots, first.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = rows.join(stay, rows.doc_id.eqNullSafe(stay._id) & (rows["_text_hash"] == stay._hash), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
