@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_runs, mixing, order_minhash, repeats, sharding, simhash, toxicity
+from . import decontamination, language_id, license_scan, line_runs, mixing, order_minhash, repeats, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_suffix_dedup": repeats.op4_suffix_dedup,
         "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_line_dedup": line_runs.op8_line_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -26,4 +27,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontamination.OP3_SQL, "op8_line_dedup": line_runs.OP8_SQL}
+    return {
+        "op3_decontamination": decontamination.OP3_SQL,
+        "op6_license_scan": license_scan.OP6_SQL,
+        "op8_line_dedup": line_runs.OP8_SQL,
+    }
