@@ -39,6 +39,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
@@ -87,13 +98,14 @@ def spread_starts(df: DataFrame, group: list[str], amount: str, name: str, ties:
     of the hash; sums of the ranges, a table of as many rows as groups times shuffle
     partitions, give each range its start, and a window runs inside each range."""
     ranges = parallelism(df.sparkSession)
+    place, cell, part, base = fresh(df, "_order", "_range", "_sum", "_base")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    first = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
-    rows = df.withColumn("_order", order).withColumn("_range", F.floor(first * ranges / F.lit(1 << 32)).cast("int"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*group, "_range").agg(F.sum(amount).alias("_sum"))
-    sums = sums.select(*group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*group, "_range").orderBy("_order", "doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.conv(F.substring(place, 1, 8), 16, 10).cast("long")
+    rows = df.withColumn(place, order).withColumn(cell, F.floor(first * ranges / F.lit(1 << 32)).cast("int"))
+    before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, cell).agg(F.sum(amount).alias(part))
+    sums = sums.select(*group, cell, F.coalesce(F.sum(part).over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy(*group, cell).orderBy(place, "doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum(amount).over(within), F.lit(0))
-    out = rows.join(sums, [*group, "_range"]).withColumn(name, (F.col("_base") + own).cast("long"))
+    out = rows.join(sums, [*group, cell]).withColumn(name, (F.col(base) + own).cast("long"))
     return out.select(*df.columns, name)

@@ -200,8 +200,9 @@ def identified(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) whose language is known, by a filter fitted
     on their own labels; rejected are texts without letters and texts of which the
     chosen language knows less than MIN_KNOWN. All columns stay as they are."""
-    found = predict(docs, fit(docs), ("_pred", "_score", "_known"))
-    return found.where((F.col("_pred") != UND) & (F.col("_known") >= MIN_KNOWN)).select(*docs.columns)
+    pred, score, known = common.fresh(docs, "_pred", "_score", "_known")
+    found = predict(docs, fit(docs), (pred, score, known))
+    return found.where((F.col(pred) != UND) & (F.col(known) >= MIN_KNOWN)).select(*docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

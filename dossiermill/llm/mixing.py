@@ -175,7 +175,7 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     takes (n_chars, if there, is counted again). Documents without taken words are
     left out. Rows that repeat in every column that matters (doc_id, text, source)
     are one row here."""
-    mix = Mix(docs.dropDuplicates(["doc_id", "text", "source"]), **options)
+    mix = Mix(docs.select("doc_id", "text", "source").dropDuplicates(), **options)
     spans = mix.spans().withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
     # neighbouring blocks taken in the same turn are one span
     kept = spans.groupBy("source_no", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
@@ -185,13 +185,14 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
             F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["lo"].alias("lo"), x["hi"].alias("hi")))),
         ).otherwise(F.concat(done, F.array(x))),
     )
-    kept = kept.join(mix.documents, ["source_no", "start"]).withColumn("spans", merged)
+    kept = kept.join(mix.documents.where("size > 0"), ["source_no", "start"]).withColumn("spans", merged)
     whole = (F.size("spans") == 1) & (F.col("spans")[0]["lo"] == 0) & (F.col("spans")[0]["hi"] == F.col("size"))
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi")))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.when(whole, all_).otherwise(F.col("spans")).alias("_spans"))
+    of_id, of_hash, of_source, taken = common.fresh(docs, "_id", "_hash", "_source", "_spans")
+    kept = kept.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("source").alias(of_source), F.when(whole, all_).otherwise(F.col("spans")).alias(taken))
     rows = docs.dropDuplicates(["doc_id", "text", "source"])
-    same = rows.doc_id.eqNullSafe(kept._id) & (F.xxhash64(rows.text) == kept._hash) & rows.source.eqNullSafe(kept._source)
-    out = rows.join(kept, same).withColumn("text", F.pandas_udf(words_kept, "string")("text", "_spans"))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_hash)) & F.col("source").eqNullSafe(F.col(of_source))
+    out = rows.join(kept, same).withColumn("text", F.pandas_udf(words_kept, "string")("text", taken))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -139,8 +139,9 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     _, begins = cut_points(common.stored(sized.groupBy("key").agg(F.sum("size").alias("size"))), shards)
     key = group_key(F.col("text"))
     number = total([(F.lit(b) <= key).cast("int") for b in begins])
-    placed = docs.withColumns({"size": size_of(F.col("text")), "shard": number, "_one": F.lit(1), "_key": key})
-    return common.spread_starts(placed, ["shard"], "_one", "slot", ("_key",)).drop("_one", "_key")
+    one, tie = common.fresh(docs, "_one", "_key")
+    placed = docs.withColumns({"size": size_of(F.col("text")), "shard": number, one: F.lit(1), tie: key})
+    return common.spread_starts(placed, ["shard"], one, "slot", (tie,)).drop(one, tie)
 
 
 def op1_shard_by_bytes(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

@@ -169,10 +169,11 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = marked.groupBy("fp").agg(F.min(row).alias("first"))
     rooted = first.join(roots, first.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = rows.join(stay, rows.doc_id.eqNullSafe(stay._id) & (rows["_text_hash"] == stay._hash), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    text_hash, of_id, of_hash = common.fresh(docs, "_text_hash", "_id", "_hash")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of_id), F.col("first.text_hash").alias(of_hash))
+    rows = docs.withColumn(text_hash, F.xxhash64("text"))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(text_hash) == F.col(of_hash)), "left_semi")
+    return kept.dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
