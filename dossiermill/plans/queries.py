@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chemistry, evidence, language, scoring, text
+from ..functions import chemistry
 from ..operators import corpus, rules
 from . import derived, grading
 
@@ -192,3 +192,6 @@ def validator_structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mark, name in marks.items():
         what = F.when(F.contains("message", F.lit(mark)), name).otherwise(what)
     return facts.withColumn("what", what).where("what is not null").groupBy("what").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("n_docs"))
+
+
+from . import product_queries, text_queries  # noqa: E402, F401  (they register their queries here)

@@ -91,7 +91,9 @@ def records(texts: DataFrame, json: str = "json") -> DataFrame:
     sections = {}
     for field in record_type():
         text = F.col(f"_raw.`{field.name}`")
-        sections[field.name] = text if field.dataType.simpleString() == "string" else F.from_json(text, field.dataType.simpleString())
+        kind = field.dataType.typeName()
+        opens = {"struct": "{", "array": "["}.get(kind)
+        sections[field.name] = F.when(F.startswith(F.ltrim(text), F.lit(opens)), F.from_json(text, field.dataType)) if opens else text
     out = out.withColumns(sections)
     skipped = F.array_compact(F.array(*(F.when(F.col(f"_raw.`{s}`").isNotNull() & F.col(f"`{s}`").isNull(), F.lit(s)) for s in SECTIONS)))
     return out.withColumn("skipped", skipped).drop("_raw")
