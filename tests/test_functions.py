@@ -140,3 +140,12 @@ def test_records(spark):
     got = files.records(spark.createDataFrame(rows, "json string")).collect()
     assert got[0].Datasheet.IssueDate == "2024-01-01" and got[0].skipped == ["Composition"] and got[0].OtherInformation == '{"x":1}'
     assert got[1].malformed and got[1].Datasheet is None
+
+
+def test_rendered_documents_read_back(spark):
+    from dossiermill.functions import render
+
+    record = {"Identification": {"TradeName": "A & B", "Gone": ""}, "OtherInformation": {"Notes": ["x", {"deep": 1}]}}
+    assert files._docx(render.docx(record, "en")).split("\n") == ["1. Identification", "TradeName: A & B", "16. Other Information", "Notes:", "  x", "  deep: 1"]
+    assert text.page_text(render.html_page(record, "zh-TW")).startswith("1. 化學品與廠商資料")
+    assert render.filled("{{TradeName}}|{{ nothing }}", record) == "A &amp; B|"
