@@ -35,6 +35,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where rows hold whole texts. A batch and what is made of it
+#: live in an executor's memory beside Spark's own, for each task that runs there.
+TEXT_ROWS = 1_000
+SMALL_ROWS = 10_000
+
+
+def batch_rows(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Sets how many rows the plans made from now on pass to Python at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

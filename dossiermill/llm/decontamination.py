@@ -150,6 +150,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     a doc_id apart; equal rows get equal results. Null and wordless texts have no
     words and no hits; items without words (and null item_ids) have no windows.
     Without items nothing is hit."""
+    common.batch_rows(docs.sparkSession)
     windows = common.stored(item_windows(items.where("item_id is not null"), window))
     tokens = common.stored(window_tokens(windows))
     counts = token_counts(docs, tokens)

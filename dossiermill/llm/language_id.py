@@ -70,7 +70,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts_of), np.concatenate(hashes)
 
 
-def in_pieces(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def in_pieces(texts: list[str | None], size: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
     first, total = 0, 0
     for n, t in enumerate(texts):
         if n > first and total + len(t or "") > size:
@@ -161,6 +161,7 @@ def predict(docs: DataFrame, model: Filter, added: tuple[str, str, str] = ("lang
     n-grams that it has. Null texts and texts without letters are ``und`` with score
     0; a text with letters of which no language knows anything gets the most common
     language with score 0."""
+    common.batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

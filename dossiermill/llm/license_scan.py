@@ -117,6 +117,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFram
     with the words from the first to the last shared shingle. A place in two
     overlapping windows is found twice. Null, empty and wordless texts find nothing;
     rows that repeat are scanned each."""
+    common.batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Templates(templates))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

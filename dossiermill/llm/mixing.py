@@ -175,6 +175,7 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     takes (n_chars, if there, is counted again). Documents without taken words are
     left out. Rows that repeat in every column that matters (doc_id, text, source)
     are one row here."""
+    common.batch_rows(docs.sparkSession)
     mix = Mix(docs.select("doc_id", "text", "source").dropDuplicates(), **options)
     spans = mix.spans().withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
     # neighbouring blocks taken in the same turn are one span

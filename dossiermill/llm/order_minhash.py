@@ -144,6 +144,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     near_next) of every row of ``docs`` (doc_id, text): the edited text has the last
     third of the code points replaced by the first as many of the next document,
     downwards by doc_id and round. A single document is its own next."""
+    common.batch_rows(docs.sparkSession)
 
     def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         """Lists of (doc_id, text, next text); a guest is a next only."""
@@ -161,7 +162,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
             lo = 0
             while lo < len(out):
                 hi, total = lo, 0
-                while hi < len(out) and (hi == lo or total < 1 << 20):
+                while hi < len(out) and (hi == lo or total < 1 << 18):
                     total += len(out[hi][1])
                     hi += 1
                 part = out[lo:hi]

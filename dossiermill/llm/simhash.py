@@ -136,6 +136,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, crowded:
     component_id is the least doc_id reachable over links. Rows that share a
     doc_id each get their own row; null doc_ids are never the least unless a
     component has no other. An empty table gives no rows."""
+    common.batch_rows(docs.sparkSession)
     marked = common.stored(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = common.stored(distinct)
@@ -152,6 +153,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     linked if they share a block and their fingerprints agree in ``similarity`` of the
     bits or more; equal fingerprints always are. Texts without words are one group.
     Columns stay as they are."""
+    common.batch_rows(docs.sparkSession)
     most_bits = int(64 * (1 - similarity) + 1e-9)
 
     def sketch(texts: pd.Series) -> pd.DataFrame:

@@ -305,6 +305,7 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, score, spans) of every row of ``docs`` (doc_id, text): spans are the
     words with a marginal of one half or more, as (start, end, marginal) in UTF-8
     bytes. Null and empty texts have no words and get the score of none."""
+    common.batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

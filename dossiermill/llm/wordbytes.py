@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes handled at a time; arrays of eight bytes for each of them live together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 U64 = 1 << 64
 
