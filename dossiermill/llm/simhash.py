@@ -17,13 +17,14 @@ Blocks of a fingerprint serve a few differing bits only. A similarity of 0.8 is
 bits of 64, and any choice of blocks that 12 bits cannot break is too short to join
 on. ``one_of_each_group`` therefore takes its blocks from the text: of the shingles'
 hashes the KEPT_SHINGLES least, of which such texts share most. Under each block
-every fingerprint meets the least and the greatest, and the Hamming distance of the
-whole fingerprints decides.
+every text meets the least and the greatest, and the exact Jaccard similarity of the
+two sets of shingles decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -38,20 +39,15 @@ CROWDED = 64
 KEPT_SHINGLES = 16
 
 
-def fingerprints(texts: pd.Series, words: int, low: list[np.ndarray] | None = None) -> np.ndarray:
-    """int64 fingerprint of each text; null counts as a text without words. ``low``
-    gets the KEPT_SHINGLES least hashes of each text."""
+def fingerprints(texts: pd.Series, words: int) -> np.ndarray:
+    """int64 fingerprint of each text; null counts as a text without words."""
     from xxhash import xxh64_intdigest
 
     out = np.zeros(len(texts), dtype=np.uint64)
-    none = np.zeros(0, dtype=np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for i, text in enumerate(texts):
         tokens = text.encode().lower().split() if text else ()
-        least = none
         if not tokens:
-            if low is not None:
-                low.append(least.view(np.int64))
             continue
         joined = b" ".join(tokens)
         ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
@@ -61,14 +57,10 @@ def fingerprints(texts: pd.Series, words: int, low: list[np.ndarray] | None = No
         ones, done = np.zeros(64, dtype=np.int64), 0
         while block := [xxh64_intdigest(joined[a:b], 42) for a, b in _take(spans, 1 << 16)]:
             block = np.array(block, dtype="<u8")
-            if low is not None:
-                least = np.unique(np.concatenate((least, block)))[:KEPT_SHINGLES]
             bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones += bits.sum(axis=0, dtype=np.int64)
             done += len(block)
         out[i] = weights[ones * 2 > done].sum(dtype=np.uint64)
-        if low is not None:
-            low.append(least.view(np.int64))
     return out.view(np.int64)
 
 
@@ -147,30 +139,72 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, crowded:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct XXH64 values (uint64, ascending) of a text's word shingles; a text of
+    fewer words than a shingle has is one shingle, a text without words has none."""
+    from xxhash import xxh64_intdigest
+
+    tokens = text.encode().lower().split() if text else ()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(tokens) - words + 1)
+    spans = zip(starts[:n].tolist(), ends[len(tokens) - n :].tolist(), strict=True)
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in spans), dtype=np.uint64, count=n))
+
+
+def _node(shingles: np.ndarray) -> int:
+    """One number for equal sets of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), 42)).astype(np.int64))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """The ``pairs`` (u, v) of nodes of ``texts`` (node, text) whose sets of shingles
+    have a Jaccard similarity of ``least`` or more, exactly."""
+    of, to = least.numerator, least.denominator
+
+    def alike(one: pd.Series, other: pd.Series) -> pd.Series:
+        out, last, a = [], None, None
+        for x, y in zip(one, other, strict=True):
+            if a is None or x != last:
+                last, a = x, shingle_set(x, words)
+            b = shingle_set(y, words)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both * to >= (len(a) + len(b) - both) * of)
+        return pd.Series(out, dtype=bool)
+
+    one, other = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in ("u", "v"))
+    met = pairs.join(one, "u").join(other, "v")
+    return met.where(F.pandas_udf(alike, "boolean")("text_u", "text_v")).select("u", "v")
+
+
 def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one row of each group of near duplicates: the
     one with the smallest doc_id (then text hash; null doc_ids last). Two texts are
-    linked if they share a block and their fingerprints agree in ``similarity`` of the
-    bits or more; equal fingerprints always are. Texts without words are one group.
+    linked if they share a block and the Jaccard similarity of their sets of shingles is
+    ``similarity`` or more; equal sets always are. Texts without words are one group.
     Columns stay as they are."""
     common.batch_rows(docs.sparkSession)
-    most_bits = int(64 * (1 - similarity) + 1e-9)
+    least = Fraction(str(similarity))
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        low: list[np.ndarray] = []
-        fps = fingerprints(texts, words, low)
-        return pd.DataFrame({"fp": fps, "low": low})
+        sets = [shingle_set(t, words) for t in texts]
+        return pd.DataFrame({"node": [_node(s) for s in sets], "low": [s[:KEPT_SHINGLES].view(np.int64) for s in sets]})
 
-    sketched = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(sketch, "fp long, low array<long>")("text").alias("s"))
+    sketched = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(sketch, "node long, low array<long>")("text").alias("s"))
     marked = common.stored(sketched.select("doc_id", "text_hash", "s.*"))
-    pairs = common.stored(marked.select("fp", F.explode("low").alias("block")).distinct())
-    ends = pairs.groupBy("block").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    met = pairs.join(ends, "block").select(F.col("fp").alias("u"), F.explode(F.array("least", "most")).alias("v"))
-    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most_bits
-    roots = common.components(met.where((F.col("u") != F.col("v")) & close).distinct())
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = marked.groupBy("fp").agg(F.min(row).alias("first"))
-    rooted = first.join(roots, first.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first")))
+    pairs = common.stored(marked.select("node", F.explode("low").alias("block")).distinct())
+    ends = pairs.groupBy("block").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    met = common.stored(pairs.join(ends, "block").select(F.col("node").alias("u"), F.explode(F.array("least", "most")).alias("v")).where("u <> v").distinct())
+    texts = _texts(docs, first, met.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    roots = common.components(_alike(met, texts, words, least))
+    rooted = first.join(roots, first.node == roots.node, "left").select("first", F.coalesce("root", first.node).alias("root"))
     text_hash, of_id, of_hash = common.fresh(docs, "_text_hash", "_id", "_hash")
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of_id), F.col("first.text_hash").alias(of_hash))
     rows = docs.withColumn(text_hash, F.xxhash64("text"))
@@ -178,6 +212,14 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     return kept.dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
 
 
+def _texts(docs: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes``: the text of the row that ``first`` names, once."""
+    named = first.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("text_hash"))
+    rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    met = rows.join(named, (rows.text_hash == named.text_hash) & rows.doc_id.eqNullSafe(F.col("of")))
+    return common.stored(met.select("node", "text").dropDuplicates(["node"]))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

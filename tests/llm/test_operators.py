@@ -355,6 +355,36 @@ def test_one_of_each_group(spark):
     assert simhash.one_of_each_group(frame(spark, [])).count() == 0
 
 
+def shingles(text, words=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def brute_groups(rows, least=0.8):
+    """The kept doc_ids of ``rows`` (doc_id, text) by the Jaccard similarity of all pairs."""
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    alike = lambda a, b: a == b or len(a & b) >= least * len(a | b) > 0
+    return set(roots_of(sets, [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])]).values())
+
+
+def edited(rng, words_of, edits):
+    out = list(words_of)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"x{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_groups_are_decided_by_exact_jaccard(spark):
+    """Pairs on both sides of 0.8, where fingerprint bits tell little."""
+    rng = random.Random(31)
+    rows = []
+    for n in range(60):
+        base = words(rng, 300, 10**6).split()
+        rows += [(2 * n, " ".join(base), "en", "s", 0), (2 * n + 1, edited(rng, base, 4 + n % 20), "en", "s", 0)]
+    kept = [r.doc_id for r in simhash.one_of_each_group(frame(spark, rows)).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == brute_groups(rows)
+
+
 # --- 8 lines ----------------------------------------------------------------
 
 
