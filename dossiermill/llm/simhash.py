@@ -15,10 +15,15 @@ components with 65 rows a fingerprint.
 
 Blocks of a fingerprint serve a few differing bits only. A similarity of 0.8 is 12
 bits of 64, and any choice of blocks that 12 bits cannot break is too short to join
-on. ``one_of_each_group`` therefore takes its blocks from the text: of the shingles'
-hashes the KEPT_SHINGLES least, of which such texts share most. Under each block
-every text meets the least and the greatest, and the exact Jaccard similarity of the
-two sets of shingles decides.
+on. ``one_of_each_group`` therefore works on the sets of shingles. Of n shingles in
+one order that holds for all texts, the first n - ceil(0.8 n) + 1 are a text's prefix,
+and two texts at 0.8 or more share a shingle of their prefixes. Shingles that many
+texts of a sample have come last in the order, so few prefixes hold them; the sample
+steers the work and never the result. Under a shingle that more than CROWDED prefixes
+hold, every text first meets the least one, which joins a group of near copies at a
+linear cost; then all texts that share a shingle and are not yet in one group meet.
+The count of shared prefix shingles bounds the similarity of a pair, and the exact
+Jaccard similarity decides the pairs that pass.
 """
 
 from __future__ import annotations
@@ -29,14 +34,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCKS = 4
 CROWDED = 64
-KEPT_SHINGLES = 16
+#: One text of SAMPLED is looked at for common shingles; those in COMMON_FROM of these
+#: texts or more are common, at most MOST_COMMON of them.
+SAMPLED, COMMON_FROM, MOST_COMMON = 64, 3, 500_000
 
 
 def fingerprints(texts: pd.Series, words: int) -> np.ndarray:
@@ -182,28 +189,73 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> D
     return met.where(F.pandas_udf(alike, "boolean")("text_u", "text_v")).select("u", "v")
 
 
-def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _common_shingles(docs: DataFrame, words: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of texts) of the common shingles of a sample, hashes ascending."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
+
+    some = docs.select("text").where(F.pmod(F.xxhash64(F.xxhash64("text")), F.lit(sampled)) == 0).distinct()
+    counts = some.select(F.explode(F.pandas_udf(of, "array<long>")("text")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON_FROM)
+    found = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()
+    h = found["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["count"].to_numpy(dtype=np.int64)[order]
+
+
+def _prefix(shingles: np.ndarray, common_ones: tuple[np.ndarray, np.ndarray], least: Fraction) -> np.ndarray:
+    """The first shingles in the order of (texts of the sample, hash): so many that two
+    sets with a Jaccard similarity of ``least`` or more share one of them."""
+    n, (known, held) = len(shingles), common_ones
+    size = n - -(-n * least.numerator // least.denominator) + 1 if n else 0
+    if not len(known):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    rank = np.where(known[at] == shingles, held[at], 0)
+    return shingles[np.argsort(rank, kind="stable")[:size]]
+
+
+def _candidates(shared: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): the pairs of ``shared`` (key, node, n) that share a key, lie in different
+    groups of ``roots`` and can have the similarity ``least``. What two sets share is in
+    both prefixes, which is counted, or behind the end of one prefix."""
+    of, to = least.numerator, least.denominator
+    rows = shared.join(roots, shared.node == roots.node, "left").select("key", shared.node, "n", F.coalesce("root", shared.node).alias("root"))
+    a, b = rows.alias("a"), rows.alias("b")
+    sizes = (F.col("a.n") * of <= F.col("b.n") * to) & (F.col("b.n") * of <= F.col("a.n") * to)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes)
+    both = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("both"), F.max("a.n").alias("n"), F.max("b.n").alias("m"))
+    behind = F.ceil(F.greatest("n", "m") * of / F.lit(to))
+    return both.where((F.col("both") + behind) * (of + to) >= (F.col("n") + F.col("m")) * of).select("u", "v")
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowded: int = CROWDED, sampled: int = SAMPLED) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one row of each group of near duplicates: the
     one with the smallest doc_id (then text hash; null doc_ids last). Two texts are
-    linked if they share a block and the Jaccard similarity of their sets of shingles is
-    ``similarity`` or more; equal sets always are. Texts without words are one group.
-    Columns stay as they are."""
-    common.batch_rows(docs.sparkSession)
+    linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more,
+    and all such pairs count; equal sets always are linked. Texts without words are one
+    group. Columns stay as they are. ``crowded`` and ``sampled`` change the work only."""
+    spark = docs.sparkSession
+    common.batch_rows(spark)
     least = Fraction(str(similarity))
+    order = spark.sparkContext.broadcast(_common_shingles(docs, words, sampled))
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"node": [_node(s) for s in sets], "low": [s[:KEPT_SHINGLES].view(np.int64) for s in sets]})
+        return pd.DataFrame({"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "prefix": [_prefix(s, order.value, least).view(np.int64) for s in sets]})
 
-    sketched = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(sketch, "node long, low array<long>")("text").alias("s"))
+    sketched = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(sketch, "node long, n long, prefix array<long>")("text").alias("s"))
     marked = common.stored(sketched.select("doc_id", "text_hash", "s.*"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first")))
-    pairs = common.stored(marked.select("node", F.explode("low").alias("block")).distinct())
-    ends = pairs.groupBy("block").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    met = common.stored(pairs.join(ends, "block").select(F.col("node").alias("u"), F.explode(F.array("least", "most")).alias("v")).where("u <> v").distinct())
-    texts = _texts(docs, first, met.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    roots = common.components(_alike(met, texts, words, least))
+    rows = marked.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("key"))
+    key = Window.partitionBy("key")
+    shared = common.stored(rows.select("*", F.count("*").over(key).alias("held"), F.min("node").over(key).alias("hub")).where("held > 1"))
+    texts = _texts(docs, first, shared.select("node").distinct())
+    to_hub = shared.where((F.col("held") > crowded) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    links = common.stored(_alike(to_hub, texts, words, least))
+    near = _alike(_candidates(shared.select("key", "node", "n"), common.components(links), least), texts, words, least)
+    roots = common.components(links.unionByName(near))
     rooted = first.join(roots, first.node == roots.node, "left").select("first", F.coalesce("root", first.node).alias("root"))
     text_hash, of_id, of_hash = common.fresh(docs, "_text_hash", "_id", "_hash")
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of_id), F.col("first.text_hash").alias(of_hash))

@@ -385,6 +385,21 @@ def test_groups_are_decided_by_exact_jaccard(spark):
     assert len(kept) == len(set(kept)) and set(kept) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("how", [{}, {"crowded": 2, "sampled": 1}])
+def test_groups_of_texts_that_share_passages(spark, how):
+    """Near copies meet though all their texts are made of passages that many share."""
+    rng = random.Random(32)
+    passages = [words(rng, 60, 10**6).split() for _ in range(12)]
+    rows = []
+    for n in range(80):
+        base = [w for p in rng.sample(passages, 4) for w in p]
+        rows += [(2 * n, " ".join(base), "en", "s", 0), (2 * n + 1, edited(rng, base, 1 + n % 8), "en", "s", 0)]
+    line = words(rng, 60, 10**6).split()
+    rows += [(1000 + n, edited(rng, line, 1), "en", "s", 0) for n in range(40)]
+    kept = [r.doc_id for r in simhash.one_of_each_group(frame(spark, rows), **how).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == brute_groups(rows)
+
+
 # --- 8 lines ----------------------------------------------------------------
 
 
