@@ -18,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint
-    folder, or a folder of our own where none is set (local tests)."""
+    """The folder that driver and executors share: the session's checkpoint folder.
+    Only a local master, whose tasks run in the driver's process, may do without one
+    and gets a temporary folder; anywhere else a missing setting is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dossiermill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dossiermill-"))
     return sc.getCheckpointDir()
 
 
@@ -32,7 +36,22 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours in whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote and that no later plan reads. What a returned
+    plan still reads stays in the shared folder, whose owner clears it."""
+    for df in tables:
+        remove(df.sparkSession, df._stored_at)
 
 
 #: Rows of an Arrow batch where rows hold whole texts. A batch and what is made of it
@@ -71,13 +90,14 @@ def components(edges: DataFrame) -> DataFrame:
     shuffle of the edges only; ends when a round changes nothing. Nodes without
     an edge are not listed."""
     edges = stored(_directed(edges))
-    state = None
-    while True:
-        edges = stored(_star(_star(edges, large=True), large=False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == state or now[0] == 0:
+    while not edges.isEmpty():
+        turned = stored(_star(_star(edges, large=True), large=False))
+        signed = turned.withColumn("n", F.lit(1)).unionByName(edges.withColumn("n", F.lit(-1)))
+        same = signed.groupBy("u", "v").agg(F.sum("n").alias("n")).where("n <> 0").isEmpty()
+        discard(edges)
+        edges = turned
+        if same:
             break
-        state = now
     roots = edges.groupBy("u").agg(F.min("v").alias("v"))
     return roots.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -101,6 +121,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return _directed(out)
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``big`` inner-joined with ``small``, which has a key at most a few times. Keys
+    with more than an even share of the rows of ``big`` (fewer keys than there are
+    shuffle partitions, so a bounded list) are cut into as many parts as they have even
+    shares, and their rows of ``small`` are repeated for each part. A row's part is a
+    hash of the row, so a task that runs again deals alike."""
+    parts = parallelism(big.sparkSession)
+    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    share = max(SMALL_ROWS // 10, -(-total // parts))
+    hot = counts.where(F.col("_n") > share).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+    if total <= share or not (found := hot.collect()):
+        return big.join(small, key)
+    hot = F.broadcast(big.sparkSession.createDataFrame(found, hot.schema))
+    one = F.coalesce("_parts", F.lit(1))
+    names = [c for c in small.columns if c != key]
+    left = big.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(*big.columns), one).cast("int"))
+    right = small.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1)))
+    return left.join(right.select(key, "_part", *names), [key, "_part"]).select(key, *(c for c in big.columns if c != key), *names)
+
+
 def spread_starts(df: DataFrame, group: list[str], amount: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the column ``name``: the sum of ``amount`` over the rows of the
     same ``group`` that come before, in the order of MD5(doc_id), doc_id, ties.

@@ -41,20 +41,24 @@ MIN_KNOWN = 0.1
 _letters: list[np.ndarray] = []
 
 
-def is_letter() -> np.ndarray:
-    """Whether each code point is a letter or a mark on one."""
+def letter_kinds() -> np.ndarray:
+    """For each code point 2 if it is a letter, 1 if it is a mark (part of the words that
+    letters make, but no letter), else 0."""
     if not _letters:
-        _letters.append(np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)]))
+        _letters.append(np.array(["ML".find(unicodedata.category(chr(i))[0]) + 1 for i in range(0x110000)], dtype=np.uint8))
     return _letters[0]
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of each n-gram of the lower-cased words, word ends marked."""
+    """(text number, hash) of each n-gram of the lower-cased words, word ends marked; a
+    text without letters has no n-grams."""
     low = [(t or "").lower() for t in texts]
     points = np.frombuffer("\0".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     number = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
     number = np.concatenate((number, [len(low) - 1]))[: len(points)]
-    letter = is_letter()[points]
+    kind = letter_kinds()[points]
+    has_letter = np.bincount(number[kind == 2], minlength=len(low))[: len(low)] > 0
+    letter = (kind > 0) & has_letter[number]
     keep = letter | np.concatenate(([True], letter[:-1]))
     points, letter, number = np.where(letter, points, 0)[keep].astype(np.uint64), letter[keep], number[keep]
     texts_of, hashes = [], []
@@ -207,6 +211,9 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out.
+    Null texts and texts without a letter (marks are none) are ``und`` with score 0; rows
+    that repeat get equal results; an empty table gives no rows."""
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
     found = predict(docs.select("doc_id", "text"), model)

@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import itertools
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -128,6 +130,41 @@ def test_language_of_awkward_texts(spark):
     assert kept.columns[-1] == "_pred" and {1000, 1001, 1002, 1004}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_marks_are_no_letters(spark):
+    docs = frame(spark, [(1, "\u0301\u0301 \u0489", None, None, 3), (2, "e\u0301t\u0301", None, None, 4)])
+    model = language_id.fit(frame(spark))
+    assert [r.lang_pred == "und" for r in language_id.predict(docs, model).orderBy("doc_id").collect()] == [True, False]
+
+
+def brute_counts(model, text):
+    """How many n-grams of the text each language's filter holds, by definition."""
+    low = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    points = [0, *itertools.chain.from_iterable([*map(ord, w), 0] for w in low.split())]
+    has, n = collections.Counter(), 0
+    for size in language_id.SIZES:
+        for i in range(len(points) - size + 1):
+            own = points[i : i + size]
+            if 0 in own[1:-1]:
+                continue
+            h = size
+            for x in own:
+                h = (h * language_id.BASE + x) & (1 << 64) - 1
+            h = language_id.mix(np.array([h], dtype=np.uint64))
+            n += 1
+            for k in range(len(model.langs)):
+                has[k] += all(int(model.masks[k // 64][p[0]]) >> k % 64 & 1 for p in model._places(h))
+    return n, [max(0.0, (has[k] - n * model.false[k]) / (1 - model.false[k])) for k in range(len(model.langs))]
+
+
+def test_counts_against_brute_force(spark):
+    model = language_id.fit(frame(spark))
+    texts = [r[1] for r in documents() if r[1] and r[0] != 1006][:30] + ["Über  den--Wolken", "a"]
+    n, has = model.counts(texts)
+    for i, t in enumerate(texts):
+        want_n, want = brute_counts(model, t)
+        assert n[i] == want_n and has[i].tolist() == pytest.approx(want)
+
+
 def test_bloom_filter_never_misses():
     h = np.random.default_rng(0).integers(0, 1 << 63, 2000).astype(np.uint64)
     model = language_id.Filter([f"l{i}" for i in range(70)], [h[i * 20 : i * 20 + 20] for i in range(70)])
@@ -298,8 +335,18 @@ def test_license_scan(spark):
     rows = [(i, f"{words(rng, rng.randint(0, 60))} {t.upper() if i % 2 else t} {words(rng, rng.randint(0, 60))}", None, None, 0) for i, (_, t) in enumerate(license_scan.TEMPLATES)]
     rows += [r for r in documents() if r[0] >= 1000]
     got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(frame(spark, rows), license_scan.TEMPLATES).collect() if r.containment == 1}
-    assert got == {(i, name) for i, (name, _) in enumerate(license_scan.TEMPLATES)}
+    pairs = [set(itertools.pairwise(split_words(t))) for _, t in license_scan.TEMPLATES]
+    assert got == {(i, name) for i, own in enumerate(pairs) for (name, _), p in zip(license_scan.TEMPLATES, pairs, strict=True) if p <= own}
     assert license_scan.scan_licenses(frame(spark, rows), []).count() == 0
+    edited_rows, rng = [], random.Random(5)
+    for i, (_, t) in enumerate(license_scan.TEMPLATES):
+        w = t.split()
+        if len(w) >= 40:  # one word in fifty changed leaves 0.9 or more
+            for at in range(25, len(w), 50):
+                w[at] = "changed"
+            edited_rows.append((i, f"{words(rng, 300)} {' '.join(w)} {words(rng, 300)}", None, None, 0))
+    found = {r.doc_id for r in license_scan.scan_licenses(frame(spark, edited_rows), license_scan.TEMPLATES).collect() if r.license == license_scan.TEMPLATES[r.doc_id][0]}
+    assert len(edited_rows) >= 10 and found == {r[0] for r in edited_rows}
     with pytest.raises(ValueError, match="at most"):
         license_scan.Templates([("a", "b")] * (license_scan.MAX_TEMPLATES + 1))
 
@@ -425,10 +472,23 @@ def test_lines_against_brute_force(spark, batches):
 def test_runs_are_levelled(spark):
     runs = line_runs.LineRuns(spark, fanout=2)
     for n in range(5):
-        fresh = runs.add(spark.createDataFrame([(n, b"a"), (n, bytes([65 + n]))], "doc_id long, key binary"))
-        assert {(bytes(r.key), r.fresh) for r in fresh.collect()} == {(b"a", n == 0), (bytes([65 + n]), True)}
+        runs.add(spark.createDataFrame([(n, b"a"), (n, bytes([65 + n])), (n, b"a")], "doc_id long, key binary"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {(bytes(r.key), r.n_docs, r.last_doc) for r in runs.merged().collect()} == {(b"a", 5, 4), *((bytes([65 + n]), 1, n) for n in range(5))}
+    seen = [bytes(r.key) for run in runs._runs() for r in run.collect()]
+    assert sorted(seen) == [bytes([65 + n]) for n in range(5)] + [b"a"]
+    assert {(bytes(r.key), r.n_docs, r.last_doc) for r in runs.repeated(2).collect()} == {(b"a", 5, 4)}
+    assert runs.repeated(1).count() == 6
+    plan = runs.levels[0][0].join(runs.levels[2][0].hint("merge"), "key", "left_anti")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.drop()
+
+
+@pytest.mark.parametrize("how", ["one", "many"])
+def test_spread_join_equals_join(spark, how):
+    big = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 97 if how == "many" else F.col("id")).alias("k"), "id")
+    small = spark.createDataFrame([(n, n * 2) for n in range(50)] + [(1, -1), (None, 0)], "k long, x long")
+    got = common.spread_join(big, small, "k")
+    assert got.columns == ["k", "id", "x"] and got.exceptAll(big.join(small, "k")).isEmpty() and big.join(small, "k").exceptAll(got).isEmpty()
 
 
 # --- 9 toxicity -------------------------------------------------------------
@@ -488,19 +548,70 @@ def test_forward_backward_against_enumeration():
 # --- 10 Order MinHash -------------------------------------------------------
 
 
+def word_pieces(text):
+    """Words split at ASCII white space and NUL, in pieces of 24 bytes."""
+    return [w[i : i + 24] for w in re.split(rb"[\0\t-\r ]+", text) if w for i in range(0, len(w), 24)]
+
+
+def brute_tuples(text, functions=order_minhash.SIGNATURES):
+    """For each hash function the two numbered k-mers that it puts first, in text order:
+    by definition, one text at a time and word hashes of the module's own byte hash."""
+    from dossiermill.llm.wordbytes import BASE, BYTE
+
+    full = (1 << 64) - 1
+
+    def mixed(h):
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & full
+        return h ^ (h >> 32)
+
+    own = [mixed(sum(int(BYTE[b]) * pow(BASE, i, 1 << 64) for i, b in enumerate(w)) & full) for w in word_pieces(text)]
+    k = min(3, len(own))
+    seen, numbered = collections.Counter(), []
+    for i in range(len(own) - k + 1 if own else 0):
+        h = k
+        for x in own[i : i + k]:
+            h = (h * BASE + x) & full
+        h = mixed(h)
+        numbered.append(mixed((h + seen[h] * BASE) & full))
+        seen[h] += 1
+    out = []
+    for f in range(functions):
+        def value(i, f=f):
+            x = ((numbered[i] ^ ((f + 1) * BASE & full)) * 0xD6E8FEB86659FD93) & full
+            return ((x ^ (x >> 32)) >> 20, i)
+
+        two = sorted(sorted(range(len(numbered)), key=value)[:2])
+        out.append(max(mixed((numbered[two[0]] * BASE + numbered[two[-1]]) & full) & 0xFFFF, 1) if two else 0)
+    return out
+
+
 def test_edits_against_brute_force(spark):
-    rows = unique(documents())
+    rows = [r for r in unique(documents()) if r[0] % 3 != 1 or r[0] >= 1000] + [(1010, "k" * 5000, None, None, 0), (1011, "a b a b a b a b", None, None, 0)]
+    rows = [r for r in rows if r[0] != 1006]
     order = sorted(rows, key=lambda r: -r[0])
-    got = {r.doc_id: r for r in order_minhash.edit_likeness(frame(spark, rows)).collect()}
+    docs = frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast("smallint"))
+    got = {r.doc_id: r for r in order_minhash.edit_likeness(docs).collect()}
     assert len(got) == len(rows)
+    shared = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    as_hex = lambda a: "".join(f"{x:04x}" for x in a)
+    tuples = {t: brute_tuples(t.encode()) for t in {r[1] or "" for r in rows}}
     for n, (i, t, *_) in enumerate(order):
         t, after = t or "", order[(n + 1) % len(order)][1] or ""
         edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        own, other, following = order_minhash.signatures([t.encode(), edited.encode(), after.encode()])
-        assert got[i].fingerprint == order_minhash.as_text(own[None])[0]
-        assert got[i].near_edited == pytest.approx(order_minhash.likeness(own[None], other[None])[0])
-        assert got[i].near_next == pytest.approx(order_minhash.likeness(own[None], following[None])[0])
+        changed = brute_tuples(edited.encode())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (as_hex(tuples[t]), as_hex(changed))
+        assert (got[i].near_edited, got[i].near_next) == (shared(tuples[t], changed), shared(tuples[t], tuples[after]))
+
+
+def test_fingerprint_of_a_crowded_batch():
+    """The way for more k-mers than there are places gives the same fingerprints."""
+    texts = [words(random.Random(n), n).encode() for n in (1, 2, 3, 40, 300)]
+    want = order_minhash.signatures(texts)
+    kmers = order_minhash._kmers(order_minhash.Words(texts, order_minhash._IS_WORD, order_minhash._BYTES, order_minhash.LONGEST))
+    begins = np.flatnonzero(np.diff(kmers[0], prepend=-1) != 0)
+    assert (order_minhash._signatures(kmers[1], begins, limit=4) == want).all()
 
 
 def test_order_matters_to_the_fingerprint():
@@ -513,6 +624,9 @@ def test_order_matters_to_the_fingerprint():
     own, swapped, edited, twice = order_minhash.signatures([" ".join(x).encode() for x in (w, moved, few, w + w)])
     near = lambda x: order_minhash.likeness(own[None], x[None])[0]
     assert near(own) == 1 and near(edited) > 0.7 > near(swapped) > 0.2 and near(twice) < 0.9
+    short = ["a b c d", "d a b c", "a b c d"]
+    a, b, c = order_minhash.signatures([x.encode() for x in short])
+    assert (a == c).all() and (a != b).any()
 
 
 def test_single_null_and_no_documents(spark):
