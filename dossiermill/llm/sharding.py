@@ -128,6 +128,15 @@ def total(terms: list[Column]) -> Column:
     return total(terms[: len(terms) // 2]) + total(terms[len(terms) // 2 :])
 
 
+def _placed(rows: DataFrame, key: str, shards: int) -> DataFrame:
+    """``rows`` (doc_id, size, key, ...) with shard and slot; of a row only these
+    columns and what else it carries go through the one shuffle that counts slots."""
+    _, begins = cut_points(common.stored(rows.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("size"))), shards)
+    one, *_ = common.fresh(rows, "_one")
+    placed = rows.withColumns({"shard": total([(F.lit(b) <= F.col(key)).cast("int") for b in begins]), one: F.lit(1)})
+    return common.spread_starts(placed, ["shard"], one, "slot", (key,)).drop(one)
+
+
 def shard(docs: DataFrame, shards: int) -> DataFrame:
     """``docs`` (doc_id, text, ...) with size, shard and slot. Shards 0 to
     ``shards - 1`` hold near equal bytes, equal texts share a shard (null counts
@@ -135,18 +144,16 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     groups than shards the last shards are empty; an empty table gives no rows.
     Columns named size, shard or slot are replaced."""
     docs = docs.drop("size", "shard", "slot")
-    sized = docs.select(group_key(F.col("text")).alias("key"), size_of(F.col("text")).alias("size"))
-    _, begins = cut_points(common.stored(sized.groupBy("key").agg(F.sum("size").alias("size"))), shards)
-    key = group_key(F.col("text"))
-    number = total([(F.lit(b) <= key).cast("int") for b in begins])
-    one, tie = common.fresh(docs, "_one", "_key")
-    placed = docs.withColumns({"size": size_of(F.col("text")), "shard": number, one: F.lit(1), tie: key})
-    return common.spread_starts(placed, ["shard"], one, "slot", (tie,)).drop(one, tie)
+    key, *_ = common.fresh(docs, "_key")
+    return _placed(docs.withColumns({"size": size_of(F.col("text")), key: group_key(F.col("text"))}), key, shards).drop(key)
 
 
 def op1_shard_by_bytes(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
-    out = shard(common.table(spark, sf_dir, "documents"), shards)
-    return out.select(
-        "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    """All documents in ``shards`` shards by the law ``bytes``. Null texts count as empty,
+    rows that repeat each have their slot, ties are broken by doc_id and text; an empty
+    table gives no rows. Texts are reduced to size, key and CRC before any shuffle."""
+    docs = common.table(spark, sf_dir, "documents")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), group_key(F.col("text")).alias("key"))
+    out = _placed(rows, "key", shards)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
