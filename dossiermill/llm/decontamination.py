@@ -26,7 +26,9 @@ from .wordbytes import Words, batches
 WINDOW = 10
 TOKEN_WORDS = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-FILTER_BITS = (1 << 16, 1 << 26)
+#: Least and greatest size of a token filter, bits for each token, and probes.
+FILTER_BITS = (1 << 16, 1 << 27)
+BITS_PER_TOKEN, PROBES = 16, 4
 
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -76,22 +78,32 @@ def window_tokens(windows: DataFrame) -> DataFrame:
 
 def token_filter(tokens: DataFrame) -> tuple[Callable[[np.ndarray], np.ndarray], list[int]]:
     """A test for tokens (longs) that never misses one of ``tokens`` (token, len),
-    and the token lengths in use. The filter's size is bounded by FILTER_BITS; with
-    more tokens than it can tell apart it lets more through."""
+    and the token lengths in use: a Bloom filter with BITS_PER_TOKEN bits and PROBES
+    places a token, which one other token in 400 passes. Its size is bounded by
+    FILTER_BITS; with more tokens than it can tell apart it lets more through, and the
+    join that follows stays exact."""
     n, *has = tokens.agg(F.count("*"), *(F.max(F.least("len", F.lit(TOKEN_WORDS)) == k) for k in range(1, TOKEN_WORDS + 1))).first()
     bits = FILTER_BITS[0]
-    while bits < min(16 * n, FILTER_BITS[1]):
+    while bits < min(BITS_PER_TOKEN * n, FILTER_BITS[1]):
         bits *= 2
-    place = F.pmod("token", F.lit(bits))
-    cells = tokens.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits"))
-    found = cells.collect()
+    step = F.shiftrightunsigned("token", 32).bitwiseOR(F.lit(1).cast("long"))
+    places = F.explode(F.array(*(F.pmod(F.pmod("token", F.lit(1 << 32)) + step * i, F.lit(bits)) for i in range(PROBES))))
+    cells = tokens.select(places.alias("place")).groupBy(F.shiftright("place", 6).alias("cell"))
+    found = cells.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))).alias("bits")).collect()
     field = np.zeros(bits // 64, dtype=np.uint64)
     if found:
         field[[r["cell"] for r in found]] = np.array([r["bits"] for r in found], dtype=np.int64).view(np.uint64)
 
     def maybe(token: np.ndarray) -> np.ndarray:
-        p = token.view(np.uint64) & np.uint64(bits - 1)
-        return (field[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        t = token.view(np.uint64)
+        low, step = t & np.uint64((1 << 32) - 1), (t >> np.uint64(32)) | np.uint64(1)
+        left = np.arange(len(t))
+        for i in range(PROBES):
+            p = (low[left] + np.uint64(i) * step[left]) & np.uint64(bits - 1)
+            left = left[(field[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+        out = np.zeros(len(t), dtype=bool)
+        out[left] = True
+        return out
 
     return maybe, [k for k, x in enumerate(has, 1) if x]
 
@@ -164,12 +176,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     around = F.split("words", " ")
     fits = (skip >= 0) & (skip + F.col("len") <= F.size(around))
     same = F.array_join(F.slice(around, F.greatest(skip, F.lit(0)) + 1, F.col("len")), " ") == F.col("window")
-    hit = place.join(prefixes, "token").where(fits & same)
+    hit = common.spread_join(place, prefixes, "token").where(fits & same)
     hit = hit.select("doc_id", "text_hash", "window", (F.col("pos") - F.col("offset")).alias("lo"), "len")
     hit = common.stored(hit)
     key = ["doc_id", "text_hash"]
     ranges = hit.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("lo", (F.col("lo") + F.col("len")).alias("hi")))).alias("hits"))
-    found = hit.select(*key, "window").distinct().join(windows.select("item_id", F.col("words").alias("window")).distinct(), "window")
+    named = windows.select("item_id", F.col("words").alias("window")).distinct()
+    found = common.spread_join(hit.select(*key, "window").distinct(), named, "window")
     found = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     both = ranges.withColumn("hits", _merged("hits")).join(found, [ranges.doc_id.eqNullSafe(found.doc_id), ranges.text_hash == found.text_hash])
     both = both.select(ranges.doc_id.alias("_id"), ranges.text_hash.alias("_hash"), "hits", "items")
@@ -193,6 +206,9 @@ def _merged(ranges: str) -> Column:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside ten-word windows of benchmark items. Null and wordless
+    texts have no words and are clean; rows that repeat get equal results; without items
+    all are clean; an empty table gives no rows."""
     found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
     return found.select(
