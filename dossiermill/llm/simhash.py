@@ -13,17 +13,23 @@ fingerprints within two bits have a common value within one bit of both, so
 linking all that emit the same value to the least of them gives the same
 components with 65 rows a fingerprint.
 
-Blocks of a fingerprint serve a few differing bits only. A similarity of 0.8 is 12
-bits of 64, and any choice of blocks that 12 bits cannot break is too short to join
-on. ``one_of_each_group`` therefore works on the sets of shingles. Of n shingles in
-one order that holds for all texts, the first n - ceil(0.8 n) + 1 are a text's prefix,
-and two texts at 0.8 or more share a shingle of their prefixes. Shingles that many
-texts of a sample have come last in the order, so few prefixes hold them; the sample
-steers the work and never the result. Under a shingle that more than CROWDED prefixes
-hold, every text first meets the least one, which joins a group of near copies at a
-linear cost; then all texts that share a shingle and are not yet in one group meet.
-The count of shared prefix shingles bounds the similarity of a pair, and the exact
-Jaccard similarity decides the pairs that pass.
+Blocks of a fingerprint serve a few differing bits only. A similarity of 0.8 is about
+12 bits of 64, and any choice of blocks that 12 bits cannot break is too short to join
+on. ``one_of_each_group`` therefore has two steps.
+
+1. Fingerprint blocks, as above, propose the pairs within two bits.
+2. For the rest it works on the sets of shingles. Of n shingles in one order that holds
+   for all texts, the first n - ceil(0.8 n) + 1 are a text's prefix, and two texts at 0.8
+   or more share a shingle of their prefixes. Shingles that many texts of a sample have
+   come last in the order, so few prefixes hold them; the sample steers the work and
+   never the result. Of the shingles that more than CROWDED prefixes hold, each has a
+   hub, the least text; a text proposes the hub that it shares most with, which joins a
+   group of near copies at a linear cost. Then all texts that share a shingle and are
+   not yet in one group propose each other, if the sizes and the number of shared prefix
+   shingles allow the similarity.
+
+Every proposed pair, of either step, is decided by the exact Jaccard similarity of its
+texts. Only the texts of proposed pairs are fetched.
 """
 
 from __future__ import annotations
@@ -38,6 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .wordbytes import BASE, LOWER, SPACED, Words, batches, mix
 
 BLOCKS = 4
 CROWDED = 64
@@ -146,27 +153,63 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 2, crowded:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct XXH64 values (uint64, ascending) of a text's word shingles; a text of
-    fewer words than a shingle has is one shingle, a text without words has none."""
-    from xxhash import xxh64_intdigest
-
-    tokens = text.encode().lower().split() if text else ()
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(tokens) - words + 1)
-    spans = zip(starts[:n].tolist(), ends[len(tokens) - n :].tolist(), strict=True)
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in spans), dtype=np.uint64, count=n))
-
-
-def _node(shingles: np.ndarray) -> int:
-    """One number for equal sets of shingles."""
-    from xxhash import xxh64_intdigest
-
-    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), 42)).astype(np.int64))
+class Shingles:
+    """The word shingles of some texts: ``hash`` of each, repeats included, and the number
+    of its text. A text of fewer words than a shingle has is one shingle, a text without
+    words has none. Of the distinct ones of each text: ``of``, ``distinct`` (ascending) and
+    ``starts``, where each text begins, with one more for the end."""
+
+    def __init__(self, texts: list[bytes], words: int):
+        w = Words(texts, SPACED, LOWER)
+        at = np.flatnonzero(w.whole(words))
+        text, h, n = [w.text[at]], [w.shingles(words)[at]], np.diff(w.first)
+        for k in range(1, words):
+            short = np.flatnonzero(n == k)
+            text.append(short)
+            h.append(w.shingles(k)[w.first[:-1][short]])
+        text, h = np.concatenate(text), np.concatenate(h)
+        order = np.lexsort((h, text))
+        self.text, self.hash, self.texts = text[order], h[order], len(texts)
+        new = (np.diff(self.text, prepend=-1) != 0) | (np.diff(self.hash, prepend=~self.hash[:1]) != 0)
+        self.of, self.distinct = self.text[new], self.hash[new]
+        self.starts = np.searchsorted(self.of, np.arange(len(texts) + 1))
+
+    def fingerprints(self) -> np.ndarray:
+        out = np.zeros(self.texts, dtype=np.uint64)
+        if len(self.text):
+            bits = np.unpackbits(self.hash.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            begins = np.flatnonzero(np.diff(self.text, prepend=-1))
+            ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
+            n = np.diff(begins, append=len(self.text))[:, None]
+            out[self.text[begins]] = ((ones * 2 > n) * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+        return out
+
+    def nodes(self) -> list[bytes]:
+        """Twelve bytes for each text, the same for equal sets only."""
+        out = np.zeros((self.texts, 2), dtype=np.uint64)
+        if len(self.of):
+            begins = np.flatnonzero(np.diff(self.of, prepend=-1))
+            for n in (0, 1):
+                out[self.of[begins], n] = np.add.reduceat(mix(self.distinct + np.uint64((n + 1) * BASE % (1 << 64))), begins)
+        return [row.tobytes()[:12] for row in out]
+
+    def prefixes(self, common_ones: tuple[np.ndarray, np.ndarray], least: Fraction) -> list[np.ndarray]:
+        """Each text's first shingles in the order of (texts of the sample, hash): so many
+        that two sets with a Jaccard similarity of ``least`` or more share one of them."""
+        known, held = common_ones
+        rank = np.zeros(len(self.of), dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, self.distinct), len(known) - 1)
+            rank = np.where(known[at] == self.distinct, held[at], 0)
+        order = np.lexsort((rank, self.of))
+        n = np.diff(self.starts)
+        size = np.where(n > 0, n + (-n * least.numerator) // least.denominator + 1, 0)
+        return [self.distinct[order[a : a + k]] for a, k in zip(self.starts.tolist(), size.tolist(), strict=False)]
+
+
+def shingled(texts: pd.Series, words: int) -> Iterator[Shingles]:
+    for _, run in batches((t or "").encode() for t in texts):
+        yield Shingles(run, words)
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
@@ -175,11 +218,14 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> D
     of, to = least.numerator, least.denominator
 
     def alike(one: pd.Series, other: pd.Series) -> pd.Series:
-        out, last, a = [], None, None
+        number, sets = {}, []
+        for t in (*one, *other):
+            number.setdefault(t, len(number))
+        for s in shingled(number, words):
+            sets += [s.distinct[a:b] for a, b in zip(s.starts, s.starts[1:], strict=False)]
+        out = []
         for x, y in zip(one, other, strict=True):
-            if a is None or x != last:
-                last, a = x, shingle_set(x, words)
-            b = shingle_set(y, words)
+            a, b = sets[number[x]], sets[number[y]]
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(both * to >= (len(a) + len(b) - both) * of)
         return pd.Series(out, dtype=bool)
@@ -193,7 +239,7 @@ def _common_shingles(docs: DataFrame, words: int, sampled: int) -> tuple[np.ndar
     """(hash, number of texts) of the common shingles of a sample, hashes ascending."""
 
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
+        return pd.Series([s.distinct[a:b].view(np.int64) for s in shingled(texts, words) for a, b in zip(s.starts, s.starts[1:], strict=False)])
 
     some = docs.select("text").where(F.pmod(F.xxhash64(F.xxhash64("text")), F.lit(sampled)) == 0).distinct()
     counts = some.select(F.explode(F.pandas_udf(of, "array<long>")("text")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON_FROM)
@@ -203,16 +249,21 @@ def _common_shingles(docs: DataFrame, words: int, sampled: int) -> tuple[np.ndar
     return h[order], found["count"].to_numpy(dtype=np.int64)[order]
 
 
-def _prefix(shingles: np.ndarray, common_ones: tuple[np.ndarray, np.ndarray], least: Fraction) -> np.ndarray:
-    """The first shingles in the order of (texts of the sample, hash): so many that two
-    sets with a Jaccard similarity of ``least`` or more share one of them."""
-    n, (known, held) = len(shingles), common_ones
-    size = n - -(-n * least.numerator // least.denominator) + 1 if n else 0
-    if not len(known):
-        return shingles[:size]
-    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-    rank = np.where(known[at] == shingles, held[at], 0)
-    return shingles[np.argsort(rank, kind="stable")[:size]]
+def _block_pairs(first: DataFrame) -> DataFrame:
+    """(u, v): nodes of ``first`` (node, fp) whose fingerprints lie within two bits. Nodes
+    of one fingerprint meet its least one, and least ones meet over the links."""
+    least = common.stored(first.groupBy("fp").agg(F.min("node").alias("v")))
+    same = first.join(least, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    one, other = (least.select(F.col("fp").alias(f"fp_{k}"), F.col("v").alias(k)) for k in ("a", "b"))
+    near = links(least.select("fp"), 2).join(one, F.col("u") == F.col("fp_a")).join(other, F.col("v") == F.col("fp_b"))
+    return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _hub_pairs(shared: DataFrame, crowded: int) -> DataFrame:
+    """(u, v): each node of ``shared`` (key, node, held, hub) and the hub that it shares
+    the most crowded keys with, if it shares any."""
+    met = shared.where((F.col("held") > crowded) & (F.col("node") != F.col("hub"))).groupBy("node", "hub").count()
+    return met.groupBy(F.col("node").alias("u")).agg(F.max_by("hub", F.struct("count", "hub")).alias("v"))
 
 
 def _candidates(shared: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
@@ -233,45 +284,62 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """``docs`` (doc_id, text, ...) with one row of each group of near duplicates: the
     one with the smallest doc_id (then text hash; null doc_ids last). Two texts are
     linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more,
-    and all such pairs count; equal sets always are linked. Texts without words are one
-    group. Columns stay as they are. ``crowded`` and ``sampled`` change the work only."""
+    and all such pairs count; equal sets always are linked. Words stand between white
+    space or NULs, A-Z are lowered. Texts without words, null and empty ones among them,
+    are one group; rows that repeat are one row; an empty table gives none. Columns stay
+    as they are. ``crowded`` and ``sampled`` change the work only."""
     spark = docs.sparkSession
     common.batch_rows(spark)
     least = Fraction(str(similarity))
     order = spark.sparkContext.broadcast(_common_shingles(docs, words, sampled))
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "prefix": [_prefix(s, order.value, least).view(np.int64) for s in sets]})
-
-    sketched = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(sketch, "node long, n long, prefix array<long>")("text").alias("s"))
-    marked = common.stored(sketched.select("doc_id", "text_hash", "s.*"))
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first")))
+        parts = []
+        for s in shingled(texts, words):
+            prefix = [x.view(np.int64) for x in s.prefixes(order.value, least)]
+            parts.append(pd.DataFrame({"node": s.nodes(), "n": np.diff(s.starts), "fp": s.fingerprints().view(np.int64), "prefix": prefix}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"node": [], "n": [], "fp": [], "prefix": []})
+
+    # the numbers go by Arrow, the texts stay where they are
+    found = F.pandas_udf(sketch, "node binary, n int, fp long, prefix array<long>")("text")
+    row_of, hash_of = _row_key()
+    marked = common.stored(docs.select("doc_id", "text").select(row_of.alias("row"), hash_of.alias("text_hash"), "doc_id", found.alias("s")).select("row", "text_hash", "doc_id", "s.*"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
+    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first"), F.first("fp").alias("fp")).select("node", "fp", "first.row", "first.text_hash", "first.doc_id"))
     rows = marked.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("key"))
     key = Window.partitionBy("key")
     shared = common.stored(rows.select("*", F.count("*").over(key).alias("held"), F.min("node").over(key).alias("hub")).where("held > 1"))
-    texts = _texts(docs, first, shared.select("node").distinct())
-    to_hub = shared.where((F.col("held") > crowded) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    links = common.stored(_alike(to_hub, texts, words, least))
-    near = _alike(_candidates(shared.select("key", "node", "n"), common.components(links), least), texts, words, least)
-    roots = common.components(links.unionByName(near))
-    rooted = first.join(roots, first.node == roots.node, "left").select("first", F.coalesce("root", first.node).alias("root"))
-    text_hash, of_id, of_hash = common.fresh(docs, "_text_hash", "_id", "_hash")
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of_id), F.col("first.text_hash").alias(of_hash))
-    rows = docs.withColumn(text_hash, F.xxhash64("text"))
-    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(text_hash) == F.col(of_hash)), "left_semi")
-    return kept.dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
-
-
-def _texts(docs: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of ``nodes``: the text of the row that ``first`` names, once."""
-    named = first.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("text_hash"))
-    rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    met = rows.join(named, (rows.text_hash == named.text_hash) & rows.doc_id.eqNullSafe(F.col("of")))
-    return common.stored(met.select("node", "text").dropDuplicates(["node"]))
+    common.discard(marked)
+
+    proposed = common.stored(_block_pairs(first.select("node", "fp")).unionByName(_hub_pairs(shared, crowded)).distinct())
+    close = common.stored(_alike(proposed, _texts(docs, first, proposed), words, least))
+    rest = common.stored(_candidates(shared.select("key", "node", "n"), common.components(close), least))
+    near = _alike(rest, _texts(docs, first, rest), words, least)
+    roots = common.components(close.unionByName(near))
+    group = F.coalesce("root", first.node)
+    rooted = first.join(roots, first.node == roots.node, "left").select(group.alias("root"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row").alias("first"))
+    row_name, hash_name = common.fresh(docs, "_row", "_hash")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row_name), F.col("first.text_hash").alias(hash_name))
+    kept = docs.withColumns({row_name: row_of, hash_name: hash_of}).join(stay, [row_name, hash_name], "left_semi")
+    return kept.dropDuplicates([row_name, hash_name]).select(*docs.columns)
+
+
+def _row_key() -> tuple[Column, Column]:
+    """What tells rows of different doc_id or text apart, without nulls."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text")
+
+
+def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of ``pairs``: the text of the row that ``first`` names, once."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    named = first.join(nodes, "node").select("node", "row", "text_hash")
+    row_of, hash_of = _row_key()
+    met = docs.select("text", row_of.alias("row"), hash_of.alias("text_hash")).join(named, ["row", "text_hash"])
+    return met.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document; nulls, wordless texts, rows that
+    share a doc_id and empty tables are as in ``near_duplicates``."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

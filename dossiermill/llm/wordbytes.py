@@ -11,6 +11,12 @@ PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 U64 = 1 << 64
 
+_BYTES = np.arange(256, dtype=np.uint8)
+#: Bytes of words between white space (and NUL, which stands between texts here), and
+#: the table that lowers A-Z.
+SPACED = (_BYTES > 0x20) | ((_BYTES > 0) & (_BYTES < 9)) | ((_BYTES > 13) & (_BYTES < 0x20))
+LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+
 _powers: dict[str, np.ndarray] = {}
 
 
