@@ -5,8 +5,10 @@ is the power of two from n up: every place of a template lies inside a window, a
 a window with all of the template's shingles is at least a quarter template. With
 one row a band and BANDS bands, such a window misses every band with a chance of
 0.75 ** BANDS (1e-6). A band is one hash function; the window's minimum is the lesser
-of two block minima, so a word costs one hash and one comparison a band. Windows
-that meet a template in some band are compared with it shingle by shingle.
+of two block minima, so a word costs one hash and one comparison a band. The templates'
+minima of a band are a sorted table in which the windows' minima are looked up, so the
+cost of a window grows with the logarithm of the number of templates. Windows that meet
+a template in some band are compared with it shingle by shingle.
 
 Templates are a parameter: a list of (name, notice) of at most MAX_TEMPLATES, so
 what the tasks hold is bounded. All words of all documents are scanned.
@@ -31,7 +33,8 @@ CONTAINMENT = 0.8
 MIN_BLOCK = 4
 MAX_TEMPLATES = 10_000
 
-#: Short public license notices.
+#: Public license notices, file headers and whole short licenses, without
+#: the names of holders. Each has a name of its own.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -42,7 +45,76 @@ TEMPLATES = [
     ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("BSD-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("as-is", "The software is provided as is, without warranty of any kind, express or implied."),
-]
+    ("Apache-2.0-header", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
+        an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0-header", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License
+        for more details. You should have received a copy of the GNU General Public License along with this program. If not,
+        see <https://www.gnu.org/licenses/>."""),
+    ("GPL-2.0-header", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option)
+        any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License
+        for more details. You should have received a copy of the GNU General Public License along with this program; if not,
+        write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""),
+    ("LGPL-2.1-header", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+        option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General
+        Public License for more details."""),
+    ("AGPL-3.0-header", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General
+        Public License for more details."""),
+    ("MPL-2.0-header", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("MIT-full", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+        permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+        notice and this permission notice shall be included in all copies or substantial portions of the Software. THE
+        SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+        COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause-full", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS
+        PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+        SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+        CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+        OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+        ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC-full", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE."""),
+    ("Unlicense-full", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means."""),
+    ("Zlib-full", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+        following restrictions."""),
+    ("BSL-1.0-full", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+        and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+        execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to
+        whom the Software is furnished to do so."""),
+]
 
 
 def shingle_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +142,13 @@ class Templates:
                     self.blocks.setdefault(block, []).append(len(self.names))
                     self.names.append(name)
                     self.shingles.append(np.unique(h))
-        self.minima = {b: np.stack([[self.band(self.shingles[t], k).min() for t in of] for k in range(BANDS)]) if of else None for b, of in self.blocks.items()}
+        self.table = {b: [self._sorted([self.band(self.shingles[t], k).min() for t in of], of) for k in range(BANDS)] for b, of in self.blocks.items()}
+
+    @staticmethod
+    def _sorted(minima: list[np.uint64], templates: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """A band's look-up table: the minima in order, and whose they are."""
+        order = np.argsort(minima, kind="stable")
+        return np.array(minima, dtype=np.uint64)[order], np.array(templates, dtype=np.int64)[order]
 
     @staticmethod
     def band(h: np.ndarray, k: int) -> np.ndarray:
@@ -85,23 +163,26 @@ class Templates:
             return out
         text = w.text[place]
         local = place - w.first[text]
-        cells = {}
+        cells, met = {}, {}
         for block in self.blocks:
             cell = np.concatenate(([True], (text[1:] != text[:-1]) | (local[1:] // block != local[:-1] // block)))
             begins = np.flatnonzero(cell)
             joined = np.append(text[begins[1:]] == text[begins[:-1]], False)  # the next block is the same text's
-            cells[block] = begins, joined, np.zeros((len(begins), len(self.blocks[block])), dtype=bool)
+            cells[block], met[block] = (begins, joined), []
         for k in range(BANDS):
             value = self.band(h, k)
-            for block, (begins, joined, met) in cells.items():
+            for block, (begins, joined) in cells.items():
                 low = np.minimum.reduceat(value, begins)
                 window = np.where(joined, np.minimum(low, np.append(low[1:], low[-1:])), low)
-                for t, least in enumerate(self.minima[block][k]):
-                    met[:, t] |= window == least
-        for block, (begins, joined, met) in cells.items():
+                least, whose = self.table[block][k]
+                first, stop = np.searchsorted(least, window, side="left"), np.searchsorted(least, window, side="right")
+                found = np.flatnonzero(stop > first)
+                n = (stop - first)[found]
+                at = np.repeat(first[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                met[block].append(np.stack([np.repeat(found, n), whose[at]]))
+        for block, (begins, joined) in cells.items():
             ends = np.append(begins[1:], len(h))
-            for n, t in zip(*np.nonzero(met), strict=True):
-                template = self.blocks[block][t]
+            for n, template in np.unique(np.concatenate(met[block], axis=1), axis=1).T.tolist():
                 stop = ends[n + 1] if joined[n] else ends[n]
                 own = h[begins[n] : stop]
                 part = float(np.isin(self.shingles[template], own).mean())
@@ -133,6 +214,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFram
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document and license of TEMPLATES that it holds, the highest containment
+    and the number of windows. Null, empty and wordless texts have no row; rows that
+    share a doc_id count together; an empty table gives no rows."""
     found = scan_licenses(common.table(spark, sf_dir, "documents"), TEMPLATES)
     return found.groupBy("doc_id", "license").agg(F.round(F.max("containment"), 6).alias("containment"), F.count("*").alias("n_windows"))
 

@@ -2,10 +2,11 @@
 
 A text's k-mers (k words; words of over LONGEST bytes count in pieces, so text
 without spaces has k-mers too) are numbered by occurrence, and each numbered
-k-mer is hashed. The hash deals the k-mers into BINS; of each bin the TUPLE least
-are taken, put back into text order and hashed together. Moving text changes the
-order, repeating it changes the numbers, so likeness of two fingerprints (the
-share of bins that agree) falls with the edit distance and not only with the sets.
+k-mer is hashed. Each of SIGNATURES hash functions orders all k-mers of the text; the
+two least under it are taken, put back into text order and hashed together. Moving text
+changes the order, repeating it changes the numbers, so likeness of two fingerprints
+(the share of functions that agree) falls with the edit distance and not only with the
+sets. A text of one k-mer has that k-mer as both.
 """
 
 from __future__ import annotations
@@ -19,33 +20,38 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .wordbytes import BASE, Words, batches, mix
 
 K = 3
-BINS = 64
-TUPLE = 2
+SIGNATURES = 64
 LONGEST = 24
 
 _BYTES = np.arange(256, dtype=np.uint8)
 _IS_WORD = (_BYTES > 0x20) | ((_BYTES < 0x20) & (_BYTES > 0) & ((_BYTES < 9) | (_BYTES > 13)))
 
 
+#: Low bits that hold a k-mer's place among those handled at once; the others order it.
+_PLACE = np.uint64((1 << 20) - 1)
+
+
 def signatures(texts: list[bytes]) -> np.ndarray:
-    """(texts, BINS) uint16; 0 is a bin without k-mers."""
-    out = np.zeros((len(texts), BINS), dtype=np.uint16)
+    """(texts, SIGNATURES) uint16; all 0 for a text without words."""
+    out = np.zeros((len(texts), SIGNATURES), dtype=np.uint16)
     for first, run in batches(texts):
         w = Words(run, _IS_WORD, _BYTES, LONGEST)
-        place, text, kmer = _kmers(w)
-        if len(place):
-            text_no, bins, values = _select(place, text.astype(np.uint64), kmer)
-            out[first + text_no, bins] = values
+        text, numbered = _kmers(w)
+        if len(text):
+            begins = np.flatnonzero(np.diff(text, prepend=-1) != 0)
+            out[first + text[begins]] = _signatures(numbered, begins)
     return out
 
 
-def _kmers(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, text number, hash); a text of fewer than K words is one k-mer."""
+def _kmers(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the occurrence-numbered k-mers in text order; a text of
+    fewer than K words is one k-mer."""
     at = np.flatnonzero(w.whole(K))
     places, hashes = [at], [w.shingles(K)[at]]
     n = np.diff(w.first)
@@ -53,32 +59,54 @@ def _kmers(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         short = w.first[:-1][n == k]
         places.append(short)
         hashes.append(w.shingles(k)[short])
-    place = np.concatenate(places)
-    return place, w.text[place], np.concatenate(hashes)
-
-
-def _select(place: np.ndarray, text: np.ndarray, kmer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rank = (text << np.uint64(48)) | (kmer >> np.uint64(16))
-    order = np.lexsort((place, rank))
-    same = rank[order]
-    n = np.arange(len(order))
-    first = np.maximum.accumulate(np.where(np.diff(same, prepend=~same[:1]) != 0, n, 0))
-    number = np.empty(len(order), dtype=np.uint64)
-    number[order] = n - first
-    value = mix(kmer + number * np.uint64(BASE))
-
-    group = (text << np.uint64(6)) | (value & np.uint64(BINS - 1))
-    order = np.argsort((group << np.uint64(42)) | (value >> np.uint64(22)), kind="stable")
-    group = group[order]
-    begins = np.flatnonzero(np.diff(group, prepend=~group[:1]) != 0)
-    sizes = np.diff(begins, append=len(group))
-    a = order[begins]
-    b = order[begins + np.minimum(sizes - 1, TUPLE - 1)]
-    a, b = np.where(place[a] <= place[b], a, b), np.where(place[a] <= place[b], b, a)
-    both = mix(value[a] * np.uint64(BASE) + value[b])
-    tag = np.maximum(both & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint16)
-    own = group[begins]
-    return (own >> np.uint64(6)).astype(np.int64), (own & np.uint64(BINS - 1)).astype(np.int64), tag
+    place, kmer = np.concatenate(places), np.concatenate(hashes)
+    order = np.argsort(place, kind="stable")
+    text, kmer = w.text[place[order]], kmer[order]
+    by = np.lexsort((kmer, text))  # equal k-mers of a text in text order
+    new = (np.diff(text[by], prepend=-1) != 0) | (np.diff(kmer[by], prepend=~kmer[by[:1]]) != 0)
+    at = np.arange(len(by))
+    number = np.empty(len(by), dtype=np.uint64)
+    number[by] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return text, mix(kmer + number * np.uint64(BASE))
+
+
+def _signatures(kmers: np.ndarray, begins: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """(texts, SIGNATURES) of texts whose numbered k-mers begin at ``begins``. The least
+    two come from minima over values that end in their place; with more k-mers than
+    there are places, from a partial sort that orders alike."""
+    out = np.empty((len(begins), SIGNATURES), dtype=np.uint16)
+    if len(kmers) <= limit:
+        place = np.arange(len(kmers), dtype=np.uint64)
+        for k in range(SIGNATURES):
+            value = _order(kmers, k) & ~_PLACE | place
+            a = np.minimum.reduceat(value, begins)
+            one = (a & _PLACE).astype(np.int64)
+            value[one] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            b = np.minimum.reduceat(value, begins)
+            other = np.where(b == np.uint64(0xFFFFFFFFFFFFFFFF), one, (b & _PLACE).astype(np.int64))
+            out[:, k] = _tag(kmers[np.minimum(one, other)], kmers[np.maximum(one, other)])
+        return out
+    for k in range(SIGNATURES):
+        value = _order(kmers, k) & ~_PLACE
+        for n, (lo, hi) in enumerate(zip(begins, np.append(begins[1:], len(kmers)), strict=True)):
+            own = value[lo:hi]
+            least = np.argpartition(own, min(1, hi - lo - 1))[:2]
+            cut = own[least].max()
+            near = np.flatnonzero(own <= cut)
+            two = near[np.argsort(own[near], kind="stable")[:2]] + lo
+            out[n, k] = _tag(kmers[two.min() : two.min() + 1], kmers[two.max() : two.max() + 1])[0]
+    return out
+
+
+def _order(kmers: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash function's values."""
+    x = (kmers ^ np.uint64((k + 1) * BASE % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _tag(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = mix(a * np.uint64(BASE) + b)
+    return np.maximum(both & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint16)
 
 
 def as_text(signature: np.ndarray) -> list[str]:
@@ -86,14 +114,13 @@ def as_text(signature: np.ndarray) -> list[str]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of the bins filled in either that agree; two empty ones are alike."""
-    filled = ((a != 0) | (b != 0)).sum(axis=1)
-    return np.where(filled == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(filled, 1))
+    """Share of the hash functions that agree; two texts without words are alike."""
+    return (a == b).mean(axis=1)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every row of ``docs`` (doc_id, text); null is the
-    empty text, whose bins are all empty."""
+    empty text, whose fingerprint is all zeros."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
@@ -143,7 +170,9 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next) of every row of ``docs`` (doc_id, text): the edited text has the last
     third of the code points replaced by the first as many of the next document,
-    downwards by doc_id and round. A single document is its own next."""
+    downwards by doc_id and round. A single document is its own next. Null texts are
+    empty, null doc_ids come last, rows that share a doc_id follow each other by their
+    text's hash, and an empty table gives no rows. doc_id is of an integer type."""
     common.batch_rows(docs.sparkSession)
 
     def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -180,10 +209,12 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
                 })
 
     id_name = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}[id_name]
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"doc_id {id_name}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs).mapInArrow(run, schema)
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of every document and of its edited text; nulls, empty texts,
+    ties and empty tables are as in ``edit_likeness``."""
     return edit_likeness(common.table(spark, sf_dir, "documents"))

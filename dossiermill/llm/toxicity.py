@@ -2,10 +2,12 @@
 
 Two states, clean and toxic. A word's features are the word and its beginnings
 (hashes); the vocabulary is the features that toxic documents have far more often
-than clean ones, beyond what chance explains. Words of toxic training documents with such a feature are the
-labelled toxic tokens, all others are clean, and the field's weights are fitted to
-those sequences by gradient ascent on the conditional likelihood. Only documents
-carry given labels, so the tokens' labels are inferred from them.
+than clean ones, beyond what chance explains. Only documents carry given labels, so the
+words' tags are latent: a toxic document says that at least one of its words is toxic, a
+clean one that none is. The field's weights are fitted to that by gradient ascent on the
+likelihood of the document labels. The chance of no toxic word is one forward pass away,
+and given that there is one, the expected tags of a toxic document are its marginals
+divided by the chance of one; both come from the same forward-backward pass.
 
 Words without a feature of the vocabulary are alike: a gap of them is a power of
 one 2 x 2 matrix, so forward-backward visits only the words with features and is
@@ -191,48 +193,44 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
 
 
 def _fit_chain(field: Field, sample: DataFrame) -> None:
-    """Weights by gradient ascent on labelled sequences: the surroundings of a
-    document's words with features, SEQUENCES of them at most. In a toxic document
-    the words whose first weights have a positive sum are the labelled ones."""
+    """Weights by gradient ascent on the documents' labels over their sequences: the
+    surroundings of a document's words with features, SEQUENCES of them at most."""
     shared = sample.sparkSession.sparkContext.broadcast(field)
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for r in rows:
-            toxic, out = r["toxic"].to_numpy(), []
+            toxic, out = r["toxic"].to_pylist(), []
             for first, w in tokenized(r["text"].to_pylist()):
                 words, ids = field.found(w)
                 order = np.argsort(words, kind="stable")
                 words, ids = words[order], ids[order]
-                at, emit = field.marked(w)
-                seed = at[emit > 0]
-                spans, ends, cut_ = [], {}, {}
+                at = np.unique(words)
+                spans, ends = {}, {}
                 for n, t in zip(at.tolist(), w.text[at].tolist(), strict=True):
-                    if n >= ends.get(t, -1) and cut_.get(t, 0) < SEQUENCES:
+                    if n >= ends.get(t, -1) and len(spans.get(t, ())) < SEQUENCES:
                         lo = max(int(w.first[t]), ends.get(t, 0), n - SEQUENCE_WORDS // 4)
-                        ends[t], cut_[t] = min(int(w.first[t + 1]), lo + SEQUENCE_WORDS), cut_.get(t, 0) + 1
-                        spans.append((t, lo, ends[t]))
-                for t, lo, hi in spans:
-                    a, b = np.searchsorted(words, [lo, hi])
-                    s = seed[(seed >= lo) & (seed < hi)] if toxic[first + t] else seed[:0]
-                    out.append(((hi - lo), (words[a:b] - lo).tolist(), ids[a:b].tolist(), (s - lo).tolist()))
-            kinds = [pa.int32(), *[pa.list_(pa.int32())] * 3]
+                        ends[t] = min(int(w.first[t + 1]), lo + SEQUENCE_WORDS)
+                        spans.setdefault(t, []).append((lo, ends[t]))
+                for t, own in spans.items():
+                    cells = [(hi - lo, words[a:b] - lo, ids[a:b]) for lo, hi in own for a, b in [np.searchsorted(words, [lo, hi])]]
+                    out.append((toxic[first + t], [n for n, _, _ in cells], [x.tolist() for _, x, _ in cells], [x.tolist() for _, _, x in cells]))
+            numbers = pa.list_(pa.int32())
+            kinds = [pa.int32(), numbers, pa.list_(numbers), pa.list_(numbers)]
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n", "word", "feature", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "n", "word", "feature"])
 
-    sequences = sample.mapInArrow(cut, "n int, word array<int>, feature array<int>, toxic array<int>").collect()
-    if not sequences:
+    found = sample.mapInArrow(cut, "toxic int, n array<int>, word array<array<int>>, feature array<array<int>>").collect()
+    if not found:
         return
-    m = len(sequences)
-    seq = np.repeat(np.arange(m), [len(s["word"]) for s in sequences])
-    word = np.array([x for s in sequences for x in s["word"]], dtype=np.int64)
-    feature = np.array([x for s in sequences for x in s["feature"]], dtype=np.int64)
-    gold = np.zeros((m, SEQUENCE_WORDS), dtype=np.int64)
-    for i, s in enumerate(sequences):
-        gold[i, s["toxic"]] = 1
-    inside = np.arange(SEQUENCE_WORDS) < np.array([s["n"] for s in sequences])[:, None]
-    before = np.concatenate((np.zeros((m, 1), dtype=np.int64), gold[:, :-1]), axis=1)
-    wanted = np.array([[(inside & (before == a) & (gold == b)).sum() for b in (0, 1)] for a in (0, 1)])
+    toxic = np.array([d["toxic"] for d in found]) == 1
+    doc = np.repeat(np.arange(len(found)), [len(d["n"]) for d in found])
+    m = len(doc)
+    hits = [x for d in found for x in d["word"]]
+    seq = np.repeat(np.arange(m), [len(x) for x in hits])
+    word = np.array([x for own in hits for x in own], dtype=np.int64)
+    feature = np.array([x for d in found for own in d["feature"] for x in own], dtype=np.int64)
+    inside = np.arange(SEQUENCE_WORDS) < np.array([n for d in found for n in d["n"]])[:, None]
     rate, speed, held = 0.3, None, None
     theta = np.concatenate([field.weight, [field.bias], field.change[:, 1]])
     prior = theta.copy()
@@ -241,9 +239,10 @@ def _fit_chain(field: Field, sample: DataFrame) -> None:
         emit = np.full((m, SEQUENCE_WORDS), theta[n_features])
         np.add.at(emit, (seq, word), theta[feature])
         change = np.array([[0.0, theta[-2]], [0.0, theta[-1]]])
-        marginal, pairs = _forward_backward(emit, change, inside)
-        residual = (gold - marginal) * inside
-        slope = np.concatenate([np.bincount(feature, weights=residual[seq, word], minlength=n_features), [residual.sum()], (wanted - pairs)[:, 1]])
+        marginal, pairs, log_z = _forward_backward(emit, change, inside)
+        own = label_slope(log_z, doc, toxic)
+        residual = marginal * inside * own[:, None]
+        slope = np.concatenate([np.bincount(feature, weights=residual[seq, word], minlength=n_features), [residual.sum()], np.einsum("n,na->a", own, pairs[:, :, 1])])
         slope -= 0.1 * (theta - prior)
         held = slope if held is None else 0.9 * held + 0.1 * slope
         speed = slope**2 if speed is None else 0.99 * speed + 0.01 * slope**2
@@ -252,15 +251,27 @@ def _fit_chain(field: Field, sample: DataFrame) -> None:
     field.weight, field.bias, field.change = theta[:n_features], float(theta[n_features]), np.array([[0.0, theta[-2]], [0.0, theta[-1]]])
 
 
-def _forward_backward(emit: np.ndarray, change: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, word) chance of toxic, and the expected number of each change."""
+def label_slope(log_z: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """What each sequence's expected counts are multiplied by in the slope of the log
+    likelihood of the documents' labels. The chance of no toxic word in a document is
+    exp(-log_z), all sequences multiplied. Expected counts given a toxic word are counts /
+    (1 - none), so a toxic document's slope is counts * none / (1 - none); a clean one's is
+    minus the counts."""
+    none = np.exp(-np.bincount(doc, weights=log_z, minlength=len(toxic)))
+    return np.where(toxic, none / np.maximum(1 - none, 1e-9), -1.0)[doc]
+
+
+def _forward_backward(emit: np.ndarray, change: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, word) chance of toxic, (sequence, from, to) expected number of each
+    change, and each sequence's log partition sum, next to 0 for no toxic word."""
     m, n = emit.shape
     own = np.exp(np.stack([np.zeros_like(emit), np.clip(emit, -50, 50)], axis=2))
     step = np.exp(change)
-    alpha, beta = np.zeros((m, n, 2)), np.ones((m, n, 2))
+    alpha, beta, log_z = np.zeros((m, n, 2)), np.ones((m, n, 2)), np.zeros(m)
     state = np.tile([1.0, 0.0], (m, 1))
     for j in range(n):
         v = (state @ step) * own[:, j]
+        log_z += np.where(inside[:, j], np.log(v.sum(axis=1)), 0.0)
         state = np.where(inside[:, j, None], v / v.sum(axis=1, keepdims=True), state)
         alpha[:, j] = state
     back = np.ones((m, 2))
@@ -273,7 +284,7 @@ def _forward_backward(emit: np.ndarray, change: np.ndarray, inside: np.ndarray)
     earlier = np.concatenate((np.tile([1.0, 0.0], (m, 1, 1)).reshape(m, 1, 2), alpha[:, :-1]), axis=1)
     pair = earlier[..., :, None] * step[None, None] * (own * beta)[..., None, :]
     pair = pair / pair.sum(axis=(2, 3), keepdims=True) * inside[..., None, None]
-    return marginal, pair.sum(axis=(0, 1))
+    return marginal, pair.sum(axis=1), log_z
 
 
 def _fit_curve(field: Field, sample: DataFrame) -> None:
@@ -327,7 +338,11 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score and the offending offsets (bytes of the UTF-8 text,
+    with their marginals). Null, empty and wordless texts get the score of no toxic word;
+    rows that repeat get equal scores; without labels of both kinds none is toxic; an
+    empty table gives no rows."""
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     field = fit(docs, labels.where(~held_out("doc_id", 5, 0)))
     found = scored(docs, field).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "spans")
-    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")

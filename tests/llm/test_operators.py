@@ -545,6 +545,31 @@ def test_forward_backward_against_enumeration():
     assert at.tolist() == [1, 4, 5] and marginal == pytest.approx(hits[[1, 4, 5]] / total)
 
 
+def test_slope_of_document_labels():
+    """The slope of the likelihood of labels equals small differences of it."""
+    rng = np.random.default_rng(4)
+    emit, doc, toxic = rng.normal(-1, 1, (5, 6)), np.array([0, 0, 1, 2, 2]), np.array([True, False, True])
+    inside = np.arange(6) < np.array([6, 4, 6, 1, 5])[:, None]
+    change = np.array([[0.0, -0.5], [0.0, 0.3]])
+
+    def likelihood(emit, change):
+        none = np.exp(-np.bincount(doc, weights=toxicity._forward_backward(emit, change, inside)[2]))
+        return np.log(np.where(toxic, 1 - none, none)).sum()
+
+    marginal, pairs, log_z = toxicity._forward_backward(emit, change, inside)
+    own = toxicity.label_slope(log_z, doc, toxic)
+    for n, j in ((0, 0), (1, 3), (2, 5), (4, 4), (3, 2)):
+        step = np.zeros_like(emit)
+        step[n, j] = 1e-5
+        want = (likelihood(emit + step, change) - likelihood(emit - step, change)) / 2e-5
+        assert own[n] * marginal[n, j] * inside[n, j] == pytest.approx(want, abs=1e-6)
+    for a in (0, 1):
+        step = np.zeros((2, 2))
+        step[a, 1] = 1e-5
+        want = (likelihood(emit, change + step) - likelihood(emit, change - step)) / 2e-5
+        assert np.einsum("n,n->", own, pairs[:, a, 1]) == pytest.approx(want, abs=1e-6)
+
+
 # --- 10 Order MinHash -------------------------------------------------------
 
 
