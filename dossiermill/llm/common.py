@@ -58,6 +58,8 @@ def discard(*tables: DataFrame) -> None:
 #: live in an executor's memory beside Spark's own, for each task that runs there.
 TEXT_ROWS = 1_000
 SMALL_ROWS = 10_000
+#: Keys with so many rows or fewer are never cut into parts.
+LEAST_SHARE = 256
 
 
 def batch_rows(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
@@ -121,16 +123,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return _directed(out)
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
     """``big`` inner-joined with ``small``, which has a key at most a few times. Keys
     with more than an even share of the rows of ``big`` (fewer keys than there are
     shuffle partitions, so a bounded list) are cut into as many parts as they have even
     shares, and their rows of ``small`` are repeated for each part. A row's part is a
-    hash of the row, so a task that runs again deals alike."""
+    hash of the row, so a task that runs again deals alike. ``counted`` is a cheaper
+    table with the same keys as often as ``big``."""
     parts = parallelism(big.sparkSession)
-    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    counts = (big if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    share = max(SMALL_ROWS // 10, -(-total // parts))
+    share = max(LEAST_SHARE, -(-total // parts))
     hot = counts.where(F.col("_n") > share).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
     if total <= share or not (found := hot.collect()):
         return big.join(small, key)

@@ -26,7 +26,8 @@ on. ``one_of_each_group`` therefore has two steps.
    hub, the least text; a text proposes the hub that it shares most with, which joins a
    group of near copies at a linear cost. Then all texts that share a shingle and are
    not yet in one group propose each other, if the sizes and the number of shared prefix
-   shingles allow the similarity.
+   shingles allow the similarity. Two groups try their pairs in rounds until one links
+   them or all have been tried.
 
 Every proposed pair, of either step, is decided by the exact Jaccard similarity of its
 texts. Only the texts of proposed pairs are fetched.
@@ -231,7 +232,8 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> D
         return pd.Series(out, dtype=bool)
 
     one, other = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in ("u", "v"))
-    met = pairs.join(one, "u").join(other, "v")
+    # a hub's text goes to many pairs
+    met = common.spread_join(common.spread_join(pairs, other, "v"), one, "u", counted=pairs)
     return met.where(F.pandas_udf(alike, "boolean")("text_u", "text_v")).select("u", "v")
 
 
@@ -267,7 +269,7 @@ def _hub_pairs(shared: DataFrame, crowded: int) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
-    """(u, v): the pairs of ``shared`` (key, node, n) that share a key, lie in different
+    """(u, v, both): the pairs of ``shared`` (key, node, n) that share a key, lie in different
     groups of ``roots`` and can have the similarity ``least``. What two sets share is in
     both prefixes, which is counted, or behind the end of one prefix."""
     of, to = least.numerator, least.denominator
@@ -277,7 +279,33 @@ def _candidates(shared: DataFrame, roots: DataFrame, least: Fraction) -> DataFra
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes)
     both = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("both"), F.max("a.n").alias("n"), F.max("b.n").alias("m"))
     behind = F.ceil(F.greatest("n", "m") * of / F.lit(to))
-    return both.where((F.col("both") + behind) * (of + to) >= (F.col("n") + F.col("m")) * of).select("u", "v")
+    return both.where((F.col("both") + behind) * (of + to) >= (F.col("n") + F.col("m")) * of).select("u", "v", "both")
+
+
+def _linked(rest: DataFrame, texts: DataFrame, links: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """(node, root): the groups that ``links`` (u, v) and all pairs of ``rest`` (u, v, both)
+    with the similarity ``least`` make. One link is enough between two groups, so in each
+    round two groups try a few of their pairs only, eight times as many as in the round
+    before, those that share most first; pairs inside a group need no trial. Every other
+    pair is tried in some round, so no link is missed."""
+    tries = 2
+    roots = common.stored(common.components(links))
+    while True:
+        one, other = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("u", "v"))
+        met = rest.join(one, "u", "left").join(other, "v", "left").select("u", "v", "both", F.coalesce("root_u", "u").alias("a"), F.coalesce("root_v", "v").alias("b"))
+        left = common.stored(met.where("a <> b"))
+        common.discard(rest)
+        if left.isEmpty():
+            return roots
+        trial = F.pmod(F.xxhash64("u", "v"), F.lit(tries)).alias("trial")
+        picked = left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), trial).agg(F.max_by(F.struct("u", "v"), F.struct("both", "u", "v")).alias("pair"))
+        picked = common.stored(picked.select("pair.u", "pair.v"))
+        found = common.stored(_alike(picked, texts, words, least))
+        rest = common.stored(left.join(picked, ["u", "v"], "left_anti").select("u", "v", "both"))
+        links = common.stored(links.unionByName(found))
+        if not found.isEmpty():
+            roots = common.stored(common.components(links))
+        tries *= 8
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowded: int = CROWDED, sampled: int = SAMPLED) -> DataFrame:
@@ -314,8 +342,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     proposed = common.stored(_block_pairs(first.select("node", "fp")).unionByName(_hub_pairs(shared, crowded)).distinct())
     close = common.stored(_alike(proposed, _texts(docs, first, proposed), words, least))
     rest = common.stored(_candidates(shared.select("key", "node", "n"), common.components(close), least))
-    near = _alike(rest, _texts(docs, first, rest), words, least)
-    roots = common.components(close.unionByName(near))
+    roots = _linked(rest, _texts(docs, first, rest), close, words, least)
     group = F.coalesce("root", first.node)
     rooted = first.join(roots, first.node == roots.node, "left").select(group.alias("root"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row").alias("first"))
     row_name, hash_name = common.fresh(docs, "_row", "_hash")
@@ -335,7 +362,7 @@ def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     named = first.join(nodes, "node").select("node", "row", "text_hash")
     row_of, hash_of = _row_key()
     met = docs.select("text", row_of.alias("row"), hash_of.alias("text_hash")).join(named, ["row", "text_hash"])
-    return met.groupBy("node").agg(F.first("text").alias("text"))
+    return common.stored(met.groupBy("node").agg(F.first("text").alias("text")))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
