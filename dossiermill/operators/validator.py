@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import chemistry, text
 from ..sources.schema import NUMBERED
 from .rules import Rule, findings
+from .sections import leaves
 
 CATEGORIES = ["Prevention", "Response", "Storage", "Disposal"]
 STRUCTURAL = "STRUCTURAL"
@@ -79,21 +80,20 @@ def _un(missing: str):  # noqa: ANN202
     return F.filter(F.transform(F.filter(regs, lambda r: ~blank(r["UNNumber"]) & blank(r[missing])), lambda r: r["UNNumber"]), lambda x: x.isNotNull())
 
 
+#: A quantity in JSON text: an object with a value, and at most one level of objects inside.
+_QUANTITY = r'(\{(?:[^{}]|\{[^{}]*\})*?"(?:ExactValue|LowerValue|UpperValue)"(?:[^{}]|\{[^{}]*\})*\})'
+
+
 def _no_unit() -> Column:
-    """Quantities with a value but neither a unit nor additional information."""
+    """Quantities of section 9, at any depth, with a value but neither a unit nor
+    additional information."""
+    found = F.regexp_extract_all(F.col("PhysicalChemicalProperties"), F.lit(_QUANTITY), F.lit(1))
+    return F.filter(found, lambda q: ~q.rlike(r'"Unit"\s*:\s*"\s*[^"\s]') & ~q.rlike(r'"AdditionalInfo"\s*:'))
 
-    def lacking(q: Column) -> Column:
-        some = q["ExactValue"].isNotNull() | q["LowerValue"].isNotNull() | q["UpperValue"].isNotNull()
-        return some & blank(q["Unit"]) & q["AdditionalInfo"].isNull()
 
-    conc = F.transform(_rows(), lambda r: r["Concentration"]["NumericRangeWithUnitAndQualifier"])
-    flash = F.transform(F.col("PhysicalChemicalProperties.FlashPoint"), lambda r: r["NumericRangeWithUnitAndQualifier"])
-    empty = F.array().cast("array<string>")
-    name = lambda label: lambda _: F.lit(label)
-    return F.concat(
-        F.coalesce(F.transform(F.filter(conc, lacking), name("Composition")), empty),
-        F.coalesce(F.transform(F.filter(flash, lacking), name("PhysicalChemicalProperties")), empty),
-    )
+def _real_hazard() -> Column:
+    """Whether any entry of the classification names a hazard."""
+    return F.exists(leaves(F.col("HazardIdentification.Classification")), text.is_real_hazard)
 
 
 def rules() -> list[Rule]:
@@ -124,7 +124,7 @@ def rules() -> list[Rule]:
         Rule("WARN", STRUCTURAL, lambda: F.filter(F.col("Datasheet.RevisionDate"), lambda d: ~text.looks_like_date(d)), quoted("Datasheet.RevisionDate '", "' does not look like a valid date."), each=True),
         *(Rule("WARN", STRUCTURAL, lambda k=k: F.filter(F.array(name()[k]), lambda v: text.is_placeholder(v)), quoted(f"Identification.{k} '", "' is a placeholder."), each=True) for k in ("TradeNameJP", "TradeNameEN")),
         Rule("WARN", STRUCTURAL, _out_of_range, quoted("Section 3 (Composition): concentration ", "% is outside 0–100."), each=True),
-        structural(lambda: text.is_real_hazard(F.col("HazardIdentification.Classification")) & (F.coalesce(F.size(_labelling()["HazardStatement"]), F.lit(0)) <= 0), "Section 2: Classification names a hazard but HazardStatement is empty."),
+        structural(lambda: _real_hazard() & (F.coalesce(F.size(_labelling()["HazardStatement"]), F.lit(0)) <= 0), "Section 2: Classification names a hazard but HazardStatement is empty."),
         Rule("HIGH", "S2-GHS-INCOMPLETE", lambda: _statements_without(F.coalesce(F.size(_labelling()["HazardPictogram"]), F.lit(0)) <= 0), "HazardStatement without HazardPictogram."),
         Rule("HIGH", "S2-GHS-INCOMPLETE", lambda: _statements_without(blank(_labelling()["SignalWord"])), "HazardStatement without SignalWord."),
         Rule("HIGH", "S2-GHS-INCOMPLETE", lambda: _statements_without(F.col("HazardIdentification.Classification").isNull()), "HazardStatement without Classification."),
@@ -133,7 +133,7 @@ def rules() -> list[Rule]:
         *(Rule("HIGH", "S14-UN-INCOMPLETE", lambda k=k: _un(k), quoted("UN ", f" has no {k}."), each=True) for k in ("ProperShippingName", "PackingGroup")),
         Rule("MED", "S2-DUPLICATE-HCODE", lambda: chemistry.repeats_of(h_codes()), quoted("Duplicate H-code ", "."), each=True),
         Rule("MED", "S2-DUPLICATE-PCODE", lambda: chemistry.repeats_of(p_codes()), quoted("Duplicate P-code ", "."), each=True),
-        Rule("MED", "S9-VALUE-WITHOUT-UNIT", _no_unit, quoted("Numeric value without Unit in ", "."), each=True),
+        Rule("MED", "S9-VALUE-WITHOUT-UNIT", _no_unit, quoted("Section 9: value without a unit: "), each=True),
     ]
     return out
 

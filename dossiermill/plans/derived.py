@@ -13,6 +13,17 @@ from ..sources.schema import DDL
 LANGS = ["ja", "en", "zh-cn", "zh-tw"]
 
 
+#: Section 9 with two quantities that lack a unit, and with none.
+WITHOUT_UNITS = (
+    '{"FlashPoint":[{"NumericRangeWithUnitAndQualifier":{"ExactValue":{"Value":23},"Unit":" "}}],"Solubilities":{"WaterSolubility":[{"NumericRangeWithUnitAndQualifier":{"LowerValue":{"Value":1},"UpperValue":{"Value":2}}}]},'
+    '"Densities":[{"NumericRangeWithUnitAndQualifier":{"ExactValue":{"Value":1},"Unit":"g/cm3"}},{"NumericRangeWithUnitAndQualifier":{"ExactValue":{"Value":1},"AdditionalInfo":{"FullText":["relative"]}}}]}'
+)
+WITH_UNITS = '{"Densities":[{"NumericRangeWithUnitAndQualifier":{"ExactValue":{"Value":1},"Unit":"g/cm3"}}]}'
+#: Classifications without a hazard, and with one among entries that are none.
+NO_HAZARD = '{"HazardName":"Not classified","AcuteToxicity":"N/A"}'
+ONE_HAZARD = '{"AcuteToxicity":"Not classified","FlammableLiquids":"Category 2","HazardName":"Not applicable"}'
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,7 +102,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(null.alias("TradeNameJP"), F.col("trade_name").alias("TradeNameEN")).alias("TradeProductIdentity"),
             F.when(key % 11 != 0, F.struct(F.col("supplier").alias("CompanyName"))).alias("SupplierInformation"),
         ),
-        "HazardIdentification": F.when(key % 53 != 0, F.struct(F.when(key % 9 != 0, F.lit("Flammable liquids: category 2")).alias("Classification"), labelling.alias("HazardLabelling"))),
+        "HazardIdentification": F.when(key % 53 != 0, F.struct(F.when(key % 9 == 1, F.lit(NO_HAZARD)).when(key % 9 != 0, F.lit(ONE_HAZARD)).alias("Classification"), labelling.alias("HazardLabelling"))),
         "Composition": F.struct(F.lit("mixture").alias("CompositionType"), F.transform(c, row).alias("CompositionAndConcentration")),
         "StabilityReactivity": F.when(key % 59 != 0, F.struct(text(3).alias("StabilityDescription"), text(2).alias("ReactivityDescription"))),
         "ToxicologicalInformation": F.when(key % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))),
@@ -100,7 +111,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     plain = {"FirstAidMeasures": 17, "FireFightingMeasures": 19, "AccidentalReleaseMeasures": 23, "HandlingAndStorage": 67, "ExposureControlPersonalProtection": 71, "DisposalConsiderations": 73, "RegulatoryInformation": 79, "OtherInformation": 83}
     sections |= {name: text(skip) for name, skip in plain.items()}
-    sections["PhysicalChemicalProperties"] = F.lit(None).cast(DDL["PhysicalChemicalProperties"])
+    sections["PhysicalChemicalProperties"] = F.when(key % 43 == 0, F.lit(WITHOUT_UNITS)).when(key % 43 == 1, F.lit(WITH_UNITS))
     out = docs.select("doc", "lang", "supplier", *(x.alias(n) for n, x in sections.items()))
     fill = {"HazardIdentification": DDL["HazardIdentification"], "Identification": DDL["Identification"]}
     for name, kind in fill.items():

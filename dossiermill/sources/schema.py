@@ -26,7 +26,6 @@ DDL = {
     "Identification": f"struct<TradeProductIdentity:struct<TradeNameJP:string,TradeNameEN:string,OtherName:array<string>,ProductNoUser:array<string>>,SupplierInformation:struct<CompanyName:string,Phone:string,Address:string,Email:string,EmergencyContact:{_CONTACT}>,UseAndUseAdvisedAgainst:struct<Use:string>>",
     "HazardIdentification": f"struct<Classification:string,HazardLabelling:struct<HazardPictogram:array<string>,SignalWord:string,HazardStatement:array<struct<HazardStatementCode:string,FullText:string>>,PrecautionaryStatements:struct<Prevention:{_PHRASE},Response:{_PHRASE},Storage:{_PHRASE},Disposal:{_PHRASE}>>>",
     "Composition": f"struct<CompositionType:string,CompositionAndConcentration:array<struct<SubstanceIdentifiers:struct<SubstanceNames:struct<IupacName:string,CasInventoryName:string,GenericName:string>,CommonName:struct<OtherName:array<string>>,SubstanceIdentity:struct<CASno:struct<FullText:array<string>>>>,MolecularFormula:string,SMILES:string,MolecularWeight:double,Concentration:struct<NumericRangeWithUnitAndQualifier:{QUANTITY}>>>>",
-    "PhysicalChemicalProperties": f"struct<FlashPoint:array<struct<NumericRangeWithUnitAndQualifier:{QUANTITY},Method:string,Condition:string>>>",
     "StabilityReactivity": "struct<StabilityDescription:string,ReactivityDescription:string>",
     "ToxicologicalInformation": "array<string>",
     "EcologicalInformation": "array<string>",
