@@ -77,7 +77,7 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 S, T = language.SIMPLIFIED, language.TRADITIONAL
 LANGUAGE_SQL = f"""
 WITH t AS (
-  SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'これは安全データシートです。' || text WHEN 2 THEN repeat('{S[:10]}', 4) || left(text, 20) WHEN 3 THEN repeat('{T[:10]}', 4) || left(text, 20) WHEN 4 THEN left(text, 12) ELSE text END AS text FROM documents),
+  SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'これは安全データシートです。' || text WHEN 2 THEN repeat('{S[:10]}', 4) || text WHEN 3 THEN repeat('{T[:10]}', 4) || text ELSE text END AS text FROM documents),
 n AS (
   SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS visible, length(regexp_replace(text, '[^\\x{{3040}}-\\x{{30FF}}]', '', 'g')) AS kana,
     length(regexp_replace(text, '[^\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]', '', 'g')) AS han, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS latin,
@@ -90,12 +90,11 @@ SELECT doc_id, language, CASE language WHEN 'ja' THEN 'jp' WHEN 'zh-CN' THEN 'cn
 @query(LANGUAGE_SQL)
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = derived.table(spark, sf_dir, "documents")
-    n, start = F.col("doc_id") % 5, F.left("text", F.lit(20))
+    n = F.col("doc_id") % 5
     mixed = (
         F.when(n == 1, F.concat(F.lit("これは安全データシートです。"), F.col("text")))
-        .when(n == 2, F.concat(F.repeat(F.lit(S[:10]), 4), start))
-        .when(n == 3, F.concat(F.repeat(F.lit(T[:10]), 4), start))
-        .when(n == 4, F.left("text", F.lit(12)))
+        .when(n == 2, F.concat(F.repeat(F.lit(S[:10]), 4), F.col("text")))
+        .when(n == 3, F.concat(F.repeat(F.lit(T[:10]), 4), F.col("text")))
         .otherwise(F.col("text"))
     )
     found = docs.select("doc_id", language.detect_language(mixed).alias("language"))
@@ -110,7 +109,7 @@ plain AS (SELECT * FROM line WHERE NOT regexp_full_match(l, '[-=_*~/\\|+#·•]{
 single AS (SELECT * FROM (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM plain) WHERE l <> '' OR before IS NULL OR before <> ''),
 seen AS (SELECT *, count(*) OVER (PARTITION BY doc_id, l) AS n, row_number() OVER (PARTITION BY doc_id, l ORDER BY i) AS nth FROM single),
 kept AS (SELECT doc_id, string_agg(l || chr(10), '' ORDER BY i) AS text FROM seen WHERE l = '' OR strlen(l) > 80 OR n < 4 OR nth = 1 GROUP BY doc_id),
-cut AS (SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '[テキスト省略]' || chr(10) ELSE text END AS text FROM kept)
+cut AS (SELECT doc_id, CASE WHEN length(text) > 80000 THEN left(text, 80000) || chr(10) || '[テキスト省略]' || chr(10) ELSE text END AS text FROM kept)
 SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM cut"""
 
 
@@ -118,19 +117,26 @@ SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM cut"""
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = derived.table(spark, sf_dir, "documents")
     dirty = F.concat(F.replace("text", F.lit(". "), F.lit(".\n\n-----\n\n")), F.lit("\n" + "Page header\n" * 5))
-    found = docs.select("doc_id", text.clean_text(dirty, 2000).alias("clean"))
+    found = docs.select("doc_id", text.clean_text(dirty).alias("clean"))
     return found.select("doc_id", F.char_length("clean").cast("long").alias("n_chars"), F.md5("clean").alias("digest"))
 
 
 @query(r"""
-WITH pair AS (SELECT b.item_id, left(b.text, 80) AS value, d.text AS doc FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+WITH pair AS (SELECT b.item_id, b.text AS value, d.text AS doc FROM benchmark b CROSS JOIN documents d),
 w AS (SELECT *, list_transform(CASE WHEN length(value) >= 10 THEN range(1, length(value) - 8, 5) ELSE [] END, lambda i: substr(value, i, 10)) AS windows FROM pair)
 SELECT item_id, count(*) AS n, round(avg(CASE WHEN length(value) < 5 THEN NULL WHEN contains(doc, value) THEN 1.0::DOUBLE WHEN len(windows) = 0 THEN 0.0::DOUBLE
   ELSE len(list_filter(windows, lambda x: contains(doc, x))) / len(windows)::DOUBLE END), 6) AS retention FROM w GROUP BY item_id""")
 def retention_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean share of an item's windows of ten characters, every five, that a document
+    has. Whole texts meet by window, so no item is paired with documents that share none."""
     items, docs = (derived.table(spark, sf_dir, t) for t in ("benchmark", "documents"))
-    pairs = items.select("item_id", F.left("text", F.lit(80)).alias("value")).join(docs.select("doc_id", F.col("text").alias("doc")), F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.avg(text.retention(F.col("value"), F.col("doc"))), 6).alias("retention"))
+    cut = lambda step: F.transform(F.sequence(F.lit(1), F.char_length("text") - 9, F.lit(step)), lambda i: F.substr("text", i, F.lit(10)))
+    long = F.char_length("text") >= 10
+    windows = items.where(long).select("item_id", F.size(cut(5)).alias("of"), F.explode(cut(5)).alias("window"))
+    held = docs.where(long).select(F.explode(F.array_distinct(cut(1))).alias("window")).join(windows.select("window").distinct(), "window").groupBy("window").count()
+    total = docs.agg(F.count("*").alias("n"), F.count("text").alias("n_texts"))
+    share = windows.join(held, "window", "left").groupBy("item_id").agg((F.sum(F.coalesce("count", F.lit(0))) / F.max("of")).alias("found"))
+    return share.join(F.broadcast(total)).select("item_id", "n", F.round(F.col("found") / F.col("n_texts"), 6).alias("retention"))
 
 
 @query(r"""
