@@ -671,3 +671,39 @@ def test_every_operator_is_registered():
 def test_held_out_share(spark):
     ids = spark.range(50).select("id", language_id.held_out("id", 4, 2).alias("out")).collect()
     assert [r.out for r in ids] == [zlib.crc32(str(r.id).encode()) % 4 == 2 for r in ids]
+
+
+def awkward_tables(path, spark, rows):
+    """A folder of tables with nulls, repeats, a megabyte word and clashing columns."""
+    clashing = ["_key", "_hash", "_row", "shard", "slot", "size", "score", "node", "fp", "batch", "key", "n"]
+    frame(spark, rows).select("*", *(F.lit(1).alias(c) for c in clashing)).write.parquet(f"{path}/documents.parquet")
+    item = next((r[1] for r in rows if r[1] and len(r[1].split()) > 40), None)
+    spark.createDataFrame([(1, item), (2, None)] if item else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(r[0], 1, r[0] % 2) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", sorted(llm.queries()))
+def test_registered_queries_on_awkward_tables(spark, tmp_path, name):
+    rows = [*unique(documents(n=24)), (1020, "x" * 1_000_000, None, None, 0), (None, "w1 w2 w3", None, None, 0)]
+    got = llm.queries()[name](spark, awkward_tables(tmp_path / "some", spark, rows)).collect()
+    assert name.startswith("op6") or sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert llm.queries()[name](spark, awkward_tables(tmp_path / "none", spark, [])).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = [(i, words(rng, 80, 10**4), "en", f"s{i % 3}", 0) for i in range(40)]
+    rows += [(100 + i, edited(rng, rows[i][1].split(), 1), "en", "s0", 0) for i in range(10)]
+    rows += [(200, f"{words(rng, 30, 10**4)} {rows[5][1]} {words(rng, 300, 10**4)}", "en", "s1", 0), (201, "", "en", "s1", 0), (202, None, "en", "s1", 0)]
+    path = str(tmp_path)
+    frame(spark, rows).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(rows[5][1].split()[10:40]))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, path).collect()
+    left = {r.doc_id for r in got}
+    # near copies go to their originals, wordless texts go, and so do holders of the item
+    assert left <= set(range(40)) - {5} and len(left) >= 35
+    assert {r.shard for r in got} <= set(range(corpus_pipeline.SHARDS))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "decontamination", "mixing", "sharding"]
