@@ -51,17 +51,22 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: A fitted language filter and drawn blocks have no SQL form; the tests hold the
-#: stages against brute force.
+#: A fitted language filter and drawn blocks have no SQL form; tests/llm holds the
+#: near-duplicate and decontamination stages against all pairs and all windows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The documents of ``sf_dir`` through all stages. A stage's table is deleted when the
+    next one is written; the last one's input stays for the returned plan."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             path = f"{common.shared_dir(spark)}/stage-{n}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                common.remove(spark, before)
+            before = path
     return docs
