@@ -92,14 +92,13 @@ def components(edges: DataFrame) -> DataFrame:
     shuffle of the edges only; ends when a round changes nothing. Nodes without
     an edge are not listed."""
     edges = stored(_directed(edges))
-    while not edges.isEmpty():
+    same = edges.isEmpty()
+    while not same:
         turned = stored(_star(_star(edges, large=True), large=False))
         signed = turned.withColumn("n", F.lit(1)).unionByName(edges.withColumn("n", F.lit(-1)))
         same = signed.groupBy("u", "v").agg(F.sum("n").alias("n")).where("n <> 0").isEmpty()
         discard(edges)
         edges = turned
-        if same:
-            break
     roots = edges.groupBy("u").agg(F.min("v").alias("v"))
     return roots.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

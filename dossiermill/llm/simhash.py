@@ -269,43 +269,54 @@ def _hub_pairs(shared: DataFrame, crowded: int) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
-    """(u, v, both): the pairs of ``shared`` (key, node, n) that share a key, lie in different
-    groups of ``roots`` and can have the similarity ``least``. What two sets share is in
-    both prefixes, which is counted, or behind the end of one prefix."""
+    """(u, v, both, a, b): the pairs of ``shared`` (key, node, n) that share a key, lie in
+    different groups a and b of ``roots`` and can have the similarity ``least``. What two
+    sets share is in both prefixes, which is counted, or behind the end of one prefix."""
     of, to = least.numerator, least.denominator
     rows = shared.join(roots, shared.node == roots.node, "left").select("key", shared.node, "n", F.coalesce("root", shared.node).alias("root"))
     a, b = rows.alias("a"), rows.alias("b")
     sizes = (F.col("a.n") * of <= F.col("b.n") * to) & (F.col("b.n") * of <= F.col("a.n") * to)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes)
-    both = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("both"), F.max("a.n").alias("n"), F.max("b.n").alias("m"))
+    named = [F.first(f"{side}.root").alias(side) for side in ("a", "b")]
+    both = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("both"), F.max("a.n").alias("n"), F.max("b.n").alias("m"), *named)
     behind = F.ceil(F.greatest("n", "m") * of / F.lit(to))
-    return both.where((F.col("both") + behind) * (of + to) >= (F.col("n") + F.col("m")) * of).select("u", "v", "both")
+    return both.where((F.col("both") + behind) * (of + to) >= (F.col("n") + F.col("m")) * of).select("u", "v", "both", "a", "b")
 
 
-def _linked(rest: DataFrame, texts: DataFrame, links: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """(node, root): the groups that ``links`` (u, v) and all pairs of ``rest`` (u, v, both)
-    with the similarity ``least`` make. One link is enough between two groups, so in each
-    round two groups try a few of their pairs only, eight times as many as in the round
-    before, those that share most first; pairs inside a group need no trial. Every other
-    pair is tried in some round, so no link is missed."""
+def _under(rows: DataFrame, column: str, merged: DataFrame) -> DataFrame:
+    """``rows`` with the groups in ``column`` named by what they are part of in ``merged``
+    (node, root); groups that are not listed there stay."""
+    to = merged.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    met = rows.join(to, F.col(column) == F.col("_node"), "left")
+    return met.withColumn(column, F.coalesce("_root", column)).drop("_node", "_root")
+
+
+def _linked(rest: DataFrame, texts: DataFrame, roots: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """(node, root): the groups of ``roots`` joined by all pairs of ``rest`` (u, v, both, a,
+    b), of the groups a and b, that have the similarity ``least``. One link is enough
+    between two groups, so in each round two groups try a few of their pairs only, eight
+    times as many as in the round before, those that share most first; pairs inside a group
+    need no trial. Every other pair is tried in some round, so no link is missed. A round
+    joins whole groups, so its components are those of a graph of groups."""
     tries = 2
-    roots = common.stored(common.components(links))
-    while True:
-        one, other = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("u", "v"))
-        met = rest.join(one, "u", "left").join(other, "v", "left").select("u", "v", "both", F.coalesce("root_u", "u").alias("a"), F.coalesce("root_v", "v").alias("b"))
-        left = common.stored(met.where("a <> b"))
-        common.discard(rest)
-        if left.isEmpty():
-            return roots
+    while not rest.isEmpty():
         trial = F.pmod(F.xxhash64("u", "v"), F.lit(tries)).alias("trial")
-        picked = left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), trial).agg(F.max_by(F.struct("u", "v"), F.struct("both", "u", "v")).alias("pair"))
-        picked = common.stored(picked.select("pair.u", "pair.v"))
-        found = common.stored(_alike(picked, texts, words, least))
-        rest = common.stored(left.join(picked, ["u", "v"], "left_anti").select("u", "v", "both"))
-        links = common.stored(links.unionByName(found))
+        best = F.max_by(F.struct("u", "v"), F.struct("both", "u", "v")).alias("pair")
+        picked = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), trial).agg(best)
+        picked = common.stored(picked.select("pair.u", "pair.v", "a", "b"))
+        found = common.stored(_alike(picked.select("u", "v"), texts, words, least))
+        left = rest.join(picked, ["u", "v"], "left_anti")
         if not found.isEmpty():
-            roots = common.stored(common.components(links))
+            joined = picked.join(found, ["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            merged = common.stored(common.components(joined))
+            alone = merged.join(roots, "node", "left_anti")
+            before, roots = roots, common.stored(_under(roots, "root", merged).unionByName(alone))
+            common.discard(before)
+            left = _under(_under(left, "a", merged), "b", merged).where("a <> b")
+        before, rest = rest, common.stored(left)
+        common.discard(before)
         tries *= 8
+    return roots
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowded: int = CROWDED, sampled: int = SAMPLED) -> DataFrame:
@@ -341,8 +352,9 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     proposed = common.stored(_block_pairs(first.select("node", "fp")).unionByName(_hub_pairs(shared, crowded)).distinct())
     close = common.stored(_alike(proposed, _texts(docs, first, proposed), words, least))
-    rest = common.stored(_candidates(shared.select("key", "node", "n"), common.components(close), least))
-    roots = _linked(rest, _texts(docs, first, rest), close, words, least)
+    roots = common.stored(common.components(close))
+    rest = common.stored(_candidates(shared.select("key", "node", "n"), roots, least))
+    roots = _linked(rest, _texts(docs, first, rest), roots, words, least)
     group = F.coalesce("root", first.node)
     rooted = first.join(roots, first.node == roots.node, "left").select(group.alias("root"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row").alias("first"))
     row_name, hash_name = common.fresh(docs, "_row", "_hash")
