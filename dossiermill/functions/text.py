@@ -124,10 +124,49 @@ def normalized_for_search(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, r"(?U)\s", ""), SEARCH_FROM, SEARCH_TO)
 
 
-def source_contains(source: Column, value: Column) -> Column:
-    """Whether a text has a value, as it is or normalized; values of under three bytes always."""
-    v = F.trim(value)
-    return (F.octet_length(v) < 3) | F.contains(source, v) | F.contains(normalized_for_search(source), normalized_for_search(v))
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def source_contains(source: Column, value: Column, plain: Column | None = None) -> Column:
+    """Whether a text has a value, as it is or normalized; values of under three bytes
+    always, values of which normalizing leaves so little only as they are. ``plain`` is
+    the normalized source where a row has it already."""
+    v, plain = _trimmed(value), normalized_for_search(source) if plain is None else plain
+    short = normalized_for_search(v)
+    return (F.octet_length(v) < 3) | F.contains(source, v) | ((F.octet_length(short) >= 3) & F.contains(plain, short))
+
+
+# Marks of stereo forms that printed names often lose.
+STEREO = ["(-)", "(+)", "(±)", "(R)", "(S)", "(d)", "(l)"]
+LONG_NAME, BASE_WITHIN, BASE_DEFAULT, BASE_LEAST, CORE_BYTES = 40, 35, 25, 8, 8
+
+
+def source_contains_name(source: Column, name: Column, plain: Column | None = None) -> Column:
+    """``source_contains``, or one shorter form of the name is there: the part before the
+    first bracket, comma or semicolon of a long name, the name without the position
+    numbers that it begins with, or without its stereo marks."""
+    plain = normalized_for_search(source) if plain is None else plain
+    at = F.regexp_instr(F.left(name, F.lit(BASE_WITHIN)), F.lit(r"([(,;\x{FF08}])"))
+    base = _trimmed(F.left(name, F.greatest(F.when(at > 0, at - 1).otherwise(BASE_DEFAULT), F.lit(BASE_LEAST))))
+    core = flat = normalized_for_search(name)
+    core = F.regexp_replace(core, "^[0-9,-]+", "")
+    for mark in STEREO:
+        flat = F.replace(flat, F.lit(mark), F.lit(""))
+    found = source_contains(source, name, plain) | ((F.char_length(name) > LONG_NAME) & source_contains(source, base, plain))
+    for form in (core, flat):
+        found = found | ((F.octet_length(form) >= CORE_BYTES) & F.contains(plain, form))
+    return found
+
+
+def source_contains_cas(source: Column, cas: Column, plain: Column | None = None) -> Column:
+    """Whether a text has a CAS number, also with full-width hyphens or stray spaces."""
+    plain = normalized_for_search(source) if plain is None else plain
+    return F.contains(source, cas) | F.contains(plain, normalized_for_search(cas))
+
+
+def has_kana(text: Column) -> Column:
+    return text.rlike(r"[\x{3040}-\x{30FF}]")
 
 
 def verified_excerpt(source: Column, excerpt: Column) -> Column:

@@ -54,3 +54,21 @@ def gaps(records: DataFrame, key: str) -> DataFrame:
     one = lambda c, s, f, v, need: F.when((F.col("country") == c) & ~F.col(need), F.struct(F.lit(s).alias("section"), F.lit(f).alias("field"), F.lit(v).alias("severity")))
     found = F.array_compact(F.array(*(one(*r) for r in REQUIREMENTS)))
     return facts(records).select(key, "country", F.explode(found).alias("gap")).select(key, "country", "gap.*")
+
+
+# Words of which China's regulatory section has to have one.
+CATALOGUE_WORDS = ["危险化学品", "GB 13690", "GB13690", "GB 30000"]
+
+
+def warnings(records: DataFrame, key: str) -> DataFrame:
+    """(key, country, section, warning): what the country of a record asks beyond the
+    checks of all countries: an emergency telephone number in China, Korea and Taiwan, a
+    reference to the catalogue in China. ``records`` as in ``facts``; a number of blanks
+    is one here, and other countries have no warnings."""
+    phone = F.coalesce(F.col("emergency_phone"), F.lit("")) != ""
+    country = F.col("country")
+    found = F.array_compact(F.array(
+        F.when(country.isin("cn", "kr", "tw") & ~phone, F.struct(F.lit(1).alias("section"), F.lit("no_emergency_contact").alias("warning"))),
+        F.when((country == "cn") & ~mentions(F.col("regulatory"), CATALOGUE_WORDS), F.struct(F.lit(15).alias("section"), F.lit("no_catalogue_reference").alias("warning"))),
+    ))
+    return records.select(key, "country", F.explode(found).alias("found")).select(key, "country", "found.*")

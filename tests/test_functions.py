@@ -149,3 +149,17 @@ def test_rendered_documents_read_back(spark):
     assert files._docx(render.docx(record, "en")).split("\n") == ["1. Identification", "TradeName: A & B", "16. Other Information", "Notes:", "  x", "  deep: 1"]
     assert text.page_text(render.html_page(record, "zh-TW")).startswith("1. 化學品與廠商資料")
     assert render.filled("{{TradeName}}|{{ nothing }}", record) == "A &amp; B|"
+
+
+def test_names_in_a_source(spark):
+    def has(source, name):
+        return value(spark, text.source_contains_name(F.lit(source), F.lit(name)))
+
+    assert has("the 六氯-1,3-丁二烯 grade", "1,1,2,3,4,4-六氯-1,3-丁二烯")
+    assert has("イソプロピルβDチオガラクトピラノシド", "イソプロピルβD(-)チオガラクトピラノシド")
+    assert has("trimethyl borate\nEnglish name: (mixture)", "trimethyl borate (a mixture of several isomers and esters)")
+    assert not has("trimethyl silane", "trimethyl borate (a mixture of several isomers and esters)")
+    assert not has("nothing", "acetone") and has("nothing", "ab")
+    assert not value(spark, text.source_contains(F.lit("ab"), F.lit("a b")))
+    assert value(spark, text.source_contains_cas(F.lit("CAS 64－17－ 5"), F.lit("64-17-5")))
+    assert not value(spark, text.source_contains_cas(F.lit("CAS 64-17-6"), F.lit("64-17-5")))

@@ -97,7 +97,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["corpus_grade_summary", "failures_by_rule", "validator_structural_rules", "evidence_resolution", "clean_text", "manifest_dedup", "stratified_sample"])
+@pytest.mark.parametrize("name", ["corpus_grade_summary", "failures_by_rule", "validator_structural_rules", "evidence_resolution", "clean_text", "manifest_dedup", "stratified_sample", "source_verification", "country_warnings"])
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
     for t in ("orders", "lineitem", "documents"):
