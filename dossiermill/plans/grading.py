@@ -13,14 +13,14 @@ from . import derived
 def component_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, level, rule): one row a finding of the component rules. A number counts
     as a duplicate if it is valid and stands earlier in the document."""
-    parts = derived.components(spark, sf_dir)
-    per_doc = parts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "cas"))).alias("c"), F.round(F.sum("conc"), 6).alias("total"), F.count("*").alias("n"))
-    status = lambda e: chemistry.cas_status(e["cas"], chemistry.QC_CAS_FORMAT)
+    # the status once a row, before the rows of a document meet
+    parts = derived.components(spark, sf_dir).withColumn("status", chemistry.cas_status(F.col("cas"), chemistry.QC_CAS_FORMAT))
+    per_doc = parts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "cas", "status"))).alias("c"), F.round(F.sum("conc"), 6).alias("total"), F.count("*").alias("n"))
     rule = lambda level, name: F.struct(F.lit(level).alias("level"), F.lit(name).alias("rule"))
     none = F.array().cast("array<struct<level:string,rule:string>>")
-    bad = F.filter("c", lambda e: (e["cas"] != "") & (status(e) == "format"))
-    wrong = F.filter("c", lambda e: (e["cas"] != "") & (status(e) == "checkdigit"))
-    valid = F.transform(F.filter("c", lambda e: (e["cas"] != "") & (status(e) == "ok")), lambda e: e["cas"])
+    bad = F.filter("c", lambda e: (e["cas"] != "") & (e["status"] == "format"))
+    wrong = F.filter("c", lambda e: (e["cas"] != "") & (e["status"] == "checkdigit"))
+    valid = F.transform(F.filter("c", lambda e: (e["cas"] != "") & (e["status"] == "ok")), lambda e: e["cas"])
     again = F.filter(valid, lambda x, i: F.array_position(valid, x) <= i)
     all_ = F.concat(
         F.transform(bad, lambda e: rule("HIGH", "S3-CAS-FORMAT")),

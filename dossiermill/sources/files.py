@@ -99,8 +99,13 @@ def records(texts: DataFrame, json: str = "json") -> DataFrame:
     return out.withColumn("skipped", skipped).drop("_raw")
 
 
-def suggested_name(issue_date: Column, code: Column) -> Column:
-    """SDS_<date>_<code> with characters that files cannot have replaced."""
+def suggested_name(issue_date: Column, product_no: Column, trade_name: Column) -> Column:
+    """SDS_<date>_<code>: the issue date without hyphens, today's if there is none; the
+    product number, else the trade name, with characters that files cannot have replaced,
+    else NoCode."""
     from ..functions.text import file_stem
 
-    return F.concat(F.lit("SDS_"), file_stem(F.coalesce(issue_date, F.lit("undated"))), F.lit("_"), file_stem(F.coalesce(code, F.lit("unknown"))))
+    date = F.replace(issue_date, F.lit("-"), F.lit(""))
+    code = file_stem(F.coalesce(product_no, trade_name))
+    full = lambda c, other: F.when(F.coalesce(c, F.lit("")) != "", c).otherwise(other)
+    return F.concat(F.lit("SDS_"), full(date, F.date_format(F.current_date(), "yyyyMMdd")), F.lit("_"), full(code, F.lit("NoCode")))

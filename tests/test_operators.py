@@ -106,3 +106,47 @@ def test_queries_equal_their_sql(spark, name):
     got = plans.QUERIES[name](spark, DATA)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_identity_findings_by_outcome(spark):
+    from dossiermill.operators import identities
+
+    ok, twice, lost, failed = "64-17-5", "67-56-1", "67-64-1", "71-43-2"
+    parts = spark.createDataFrame([(1, n, c) for n, c in enumerate([ok, twice, lost, failed, "64-17-6", None])], "doc int, pos int, cas string")
+    candidate = "cas string, cid long, formula string, structure string, calculated string, fragments int"
+    rows = [(ok, 1, "C2H6O", "normalized", "C2H6", 2)] * 2 + [(twice, 2, "C", "missing", None, 1), (twice, 3, "C", "missing", None, 1), (lost, None, None, None, None, None)]
+    errors = spark.createDataFrame([(failed, None), (failed, "x"), ("64-17-6", "y")], "cas string, message string")
+    known = identities.identified(parts, identities.outcomes(spark.createDataFrame(rows, candidate), errors))
+    found = {(r.cas, r.rule) for r in identities.identity_findings(known).collect()}
+    missing = "GEN-CAS-ENRICHMENT-MISSING"
+    assert found == {
+        (ok, "GEN-STRUCTURE-FORMULA-MISMATCH"), (ok, "GEN-STRUCTURE-MULTIFRAGMENT"), (twice, "GEN-CAS-AMBIGUOUS"), (twice, missing),
+        (lost, missing), (failed, missing), (failed, "GEN-CAS-LOOKUP-ERROR"),
+    }
+    assert [r.published_formula for r in known.where(f"cas = '{ok}'").collect()] == [None]
+    assert known.count() == 6
+
+
+def test_names_of_files_are_numbered_and_fall_back(spark):
+    from dossiermill.operators import reports
+    from dossiermill.sources.files import suggested_name
+
+    rows = [("2024-03-31", "A/1 ", "x"), ("2024-03-31", None, "A/1"), ("20240331", "A_1", None), ("2024-03-31", "//", "x"), (None, None, None)]
+    docs = spark.createDataFrame([(f"p{n}", *r) for n, r in enumerate(rows)], "path string, day string, number string, trade string")
+    named = docs.select("path", suggested_name(docs.day, docs.number, docs.trade).alias("name"))
+    got = {r.path: r.file_name for r in reports.numbered_names(named).collect()}
+    assert sorted(got[p] for p in ("p0", "p1", "p2")) == ["SDS_20240331_A_1", "SDS_20240331_A_1_001", "SDS_20240331_A_1_002"]
+    assert got["p3"] == "SDS_20240331_NoCode" and got["p4"].endswith("_NoCode") and len(got["p4"]) == 19
+    assert reports.numbered_names(named.where("false")).count() == 0
+
+
+def test_reports_of_single_seeds_and_of_files_without_scores(spark):
+    from dossiermill.operators import reports
+
+    one = reports.attribution(spark.createDataFrame([(1, "a", -2.0), (1, "a", None)], "seed int, feature string, value double")).first()
+    assert (one.mean_abs, one.std_abs) == (1.0, None)
+    scores = spark.createDataFrame([(1, "S1", True, 1.0), (2, "S1", False, 0.5), (3, "S2", True, None), (4, "S2", False, 1.0)], "doc int, section string, full_text boolean, score double")
+    files = reports.retention_by_file(scores)
+    assert {r.doc: (r.retention, r.full_text_retention) for r in files.collect()} == {1: (1.0, 1.0), 2: (0.5, None), 3: (0.0, None), 4: (1.0, None)}
+    summary = reports.retention_summary(files).first()
+    assert (summary.best, summary.worst, summary.mean_retention) == (1, 3, 0.625)
