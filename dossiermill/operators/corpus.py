@@ -58,11 +58,12 @@ def worst(docs: DataFrame, group: str, n: int) -> DataFrame:
     return docs.groupBy(group).agg(total.alias("badness"), F.count("*").alias("n_docs")).orderBy(F.desc("badness"), group).limit(n)
 
 
-def rule_frequency(facts: DataFrame, key: str, n_docs: int | Column, supplier: str) -> DataFrame:
-    """(rule, n, n_docs, n_suppliers, percent) of the documents that have each rule."""
-    share = F.round(100.0 * F.col("n_docs") / n_docs, 6)
+def rule_frequency(facts: DataFrame, key: str, total: DataFrame, supplier: str) -> DataFrame:
+    """(rule, n, n_docs, n_suppliers, percent) of the documents that have each rule;
+    ``total`` is one row with the number of documents."""
     counts = facts.groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_docs"), F.count_distinct(supplier).alias("n_suppliers"))
-    return counts.withColumn("percent", share)
+    share = F.round(100.0 * F.col("n_docs") / F.col("_total"), 6)
+    return counts.join(F.broadcast(total.toDF("_total"))).withColumn("percent", share).drop("_total")
 
 
 def features(docs: DataFrame) -> DataFrame:

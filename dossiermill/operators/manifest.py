@@ -45,5 +45,7 @@ def stratified(docs: DataFrame, group: str, stratum: str, n: int, order: Column)
     sizes = one.groupBy(stratum).agg(F.count("*").alias("_size"))
     total = one.agg(F.count("*").alias("_total"))
     quota = sizes.crossJoin(total).select(stratum, F.greatest(F.lit(1), F.bround(F.col("_size") * n / F.col("_total"), 0)).cast("int").alias("_quota"))
-    ranked = one.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order, group)))
+    # no quota is above n: with the bound beside the window, each task sends on the first n
+    # of a stratum only, however few strata there are
+    ranked = one.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order, group))).where(F.col("_rank") <= max(1, n))
     return ranked.join(quota, stratum).where("_rank <= _quota").select(*docs.columns)

@@ -43,8 +43,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(spark, sf_dir).select("doc", "supplier", F.explode("findings").alias("f")).select("doc", "supplier", "f.level", "f.rule")
 
 
-def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validator.validate(derived.records(spark, sf_dir))
+def validated(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+    return validator.validate(derived.records(spark, sf_dir), names)
 
 
 FINDINGS_SQL = (

@@ -83,7 +83,7 @@ def worst_manufacturers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + grading.FINDINGS_SQL + "," + derived.DOCUMENTS_SQL + " SELECT rule, count(*) AS n, count(DISTINCT f.doc) AS n_docs, count(DISTINCT supplier) AS n_suppliers, round(100.0::DOUBLE * count(DISTINCT f.doc) / (SELECT count(*) FROM docs), 6) AS percent FROM facts f JOIN docs d ON d.doc = f.doc GROUP BY rule")
 def rule_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = derived.table(spark, sf_dir, "orders").count()
+    n = derived.table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
     return corpus.rule_frequency(grading.facts(spark, sf_dir), "doc", n, "supplier")
 
 
@@ -127,7 +127,7 @@ def h_code_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule_counts(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    facts = rules.exploded(grading.validated(spark, sf_dir), "doc").where(F.col("rule").isin(names))
+    facts = rules.exploded(grading.validated(spark, sf_dir, names), "doc")
     return facts.groupBy("rule", "level").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("n_docs"))
 
 
@@ -183,7 +183,7 @@ SELECT what, count(*) AS n, count(DISTINCT doc) AS n_docs FROM found GROUP BY wh
 
 @query(STRUCTURE)
 def validator_structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = rules.exploded(grading.validated(spark, sf_dir), "doc").where("rule = 'STRUCTURAL'")
+    facts = rules.exploded(grading.validated(spark, sf_dir, ["STRUCTURAL"]), "doc")
     marks = {
         "no product name": "product name", "SupplierInformation is missing": "supplier",
         "unknown H-code": "unknown H-code", "CompositionAndConcentration is empty": "composition", "invalid CAS": "cas format", "check digit mismatch": "cas check digit",

@@ -150,3 +150,33 @@ def test_reports_of_single_seeds_and_of_files_without_scores(spark):
     assert {r.doc: (r.retention, r.full_text_retention) for r in files.collect()} == {1: (1.0, 1.0), 2: (0.5, None), 3: (0.0, None), 4: (1.0, None)}
     summary = reports.retention_summary(files).first()
     assert (summary.best, summary.worst, summary.mean_retention) == (1, 3, 0.625)
+
+
+def test_sinks_read_back(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from dossiermill.sources import sinks
+
+    path = str(tmp_path / "manifest")
+    entries = spark.createDataFrame([("u1", "ab1", "ja"), ("u2", "ac2", None), ("u3", None, "en")], "source_url string, sha256 string, lang string")
+    sinks.append_manifest(entries, path)
+    sinks.append_manifest(entries.limit(1), path)
+    (tmp_path / "manifest" / "part-broken.json").write_text('\n{"source_url": \n')
+    back = sinks.read_manifest(spark, path)
+    assert sorted(r.source_url for r in back.collect()) == ["u1", "u1", "u2", "u3"]
+    assert sorted(r.source_url for r in sinks.without_entries(back, "ab").collect()) == ["u2", "u3"]
+    assert sinks.without_entries(back, "").count() == 0
+    report = str(tmp_path / "report")
+    sinks.write_report(entries, report, ["source_url"])
+    assert [r.sha256 for r in spark.read.option("header", True).csv(report).collect()] == ["ab1", "ac2", None]
+    with pytest.raises(AnalysisException):
+        sinks.write_report(entries, report, ["source_url"])
+    sinks.write_trees(entries, str(tmp_path / "out"), ["sha256", "lang"], "source_url")
+    assert [spark.read.parquet(f"{tmp_path}/out/{c}").count() for c in ("sha256", "lang")] == [2, 2]
+
+
+def test_the_first_rows_of_a_stratum_are_found_before_the_shuffle(spark):
+    docs = spark.range(1000).selectExpr("concat('s', id) AS supplier", "concat('l', id % 2) AS lang", "id AS doc")
+    sample = manifest.stratified(docs, "supplier", "lang", 10, F.xxhash64("doc"))
+    assert sorted(r["count"] for r in sample.groupBy("lang").count().collect()) == [5, 5]
+    assert "WindowGroupLimit" in sample._jdf.queryExecution().toString()
