@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, line_runs, mixing, order_minhash, repeats, sharding, simhash, toxicity
+from . import alignment, decontamination, hard_negatives, language_id, license_scan, line_runs, mixing, order_minhash, repeats, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": line_runs.op8_line_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_order_minhash": order_minhash.op10_order_minhash,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
 
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": decontamination.OP3_SQL,
         "op6_license_scan": license_scan.OP6_SQL,
         "op8_line_dedup": line_runs.OP8_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
     }
