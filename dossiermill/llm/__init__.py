@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontamination, hard_negatives, language_id, license_scan, line_runs, mixing, order_minhash, repeats, sharding, simhash, toxicity
+from . import alignment, decontamination, hard_negatives, language_id, license_scan, line_runs, mixing, order_minhash, repeats, sharding, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_order_minhash": order_minhash.op10_order_minhash,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_token_files": token_files.op12_token_files,
         "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,9 @@ _SPACE = r"\s\x1c-\x1f\x85\u200b\u2060\ufeff\u2581"
 _UNIT = re.compile(rf"(?<=[^{_SPACE}])(?= [^{_SPACE}])")
 #: Longer units are not kept; a memo of so many is cleared.
 LONGEST = 48
-KEPT = 400_000
-#: Transitions kept, and how long a residual may be to be kept.
-MOVES = 1_000_000
-RESIDUAL = 64
+KEPT = 250_000
+#: Transitions kept.
+MOVES = 200_000
 #: Pair counts of at most so many rows are broadcast (some 50 MB); beyond, they are joined
 #: by key.
 BROADCAST_ROWS = 2_000_000
@@ -77,52 +77,69 @@ def piece_bpe(path: str):
 
 
 class Transducer:
-    """Groups of token ids of two sides that spell the same bytes."""
+    """Groups of token ids of two sides that spell the same bytes. States are numbered:
+    0 is the empty residual, where the first side moves."""
 
     def __init__(self, a: dict[int, bytes], b: dict[int, bytes]):
         self.spelled = (a, b)
-        self.moves: dict[tuple, tuple] = {}
-
-    def move(self, ahead: int, residual: bytes, token: int) -> tuple[int, bytes] | None:
-        """The state after ``token`` of the side behind (side 0 if none leads); None if its
-        bytes contradict the residual."""
-        key = (ahead, residual, token)
-        if (found := self.moves.get(key, 0)) != 0:
-            return found
-        behind = 1 - ahead
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[tuple[int, bytes]] = [(0, b"")]
+        self.numbers = {(0, b""): 0}
+        self.behind = [0]
+        self.moves: dict[int, int] = {}
+
+    def move(self, state: int, token: int) -> int:
+        """The state after ``token`` of the side behind; -1 if its bytes contradict the
+        residual."""
+        behind, residual = self.states[state]
         own = self.spelled[behind][token]
         if len(own) <= len(residual):
-            state = (ahead, residual[len(own) :]) if residual.startswith(own) else None
+            new = (behind, residual[len(own) :]) if residual.startswith(own) else None
         else:
-            state = (behind, own[len(residual) :]) if own.startswith(residual) else None
-        if state and not state[1]:
-            state = (1, b"")
-        if len(residual) <= RESIDUAL:
-            if len(self.moves) >= MOVES:
-                self.moves.clear()
-            self.moves[key] = state
-        return state
+            new = (1 - behind, own[len(residual) :]) if own.startswith(residual) else None
+        if new is None:
+            number = -1
+        else:
+            new = new if new[1] else (0, b"")
+            number = self.numbers.setdefault(new, len(self.states))
+            if number == len(self.states):
+                self.states.append(new)
+                self.behind.append(new[0])
+        self.moves[state << 32 | token] = number
+        return number
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
         """The groups in order; None if the sides spell different bytes."""
-        out, sides, at = [], (a, b), [0, 0]
-        begun = [0, 0]
-        ahead, residual = 1, b""
-        while at[0] < len(a) or at[1] < len(b):
-            behind = 1 - ahead
-            if at[behind] == len(sides[behind]):
-                return None
-            token = sides[behind][at[behind]]
-            at[behind] += 1
-            state = self.move(ahead, residual, token)
-            if state is None:
+        if len(self.moves) > MOVES:
+            self.clear()
+        moves, behind, out = self.moves, self.behind, []
+        n, m, i, j, from_a, from_b, state = len(a), len(b), 0, 0, 0, 0, 0
+        while i < n or j < m:
+            # empty tokens leave the state where it is: then the other side moves
+            if behind[state] == 0 and not (state == 0 and i > from_a):
+                if i == n:
+                    return None
+                token = a[i]
+                i += 1
+                new = moves.get(state << 32 | token)
+                state = self.move(state, token) if new is None else new
+            else:
+                if j == m or state == 0:
+                    return None
+                token = b[j]
+                j += 1
+                new = moves.get(state << 32 | token)
+                state = self.move(state, token) if new is None else new
+            if state < 0:
                 return None
-            ahead, residual = state
-            # empty tokens leave both sides where they are; the group stays open
-            if not residual and at[0] > begun[0] and at[1] > begun[1]:
-                out.append((a[begun[0] : at[0]], b[begun[1] : at[1]]))
-                begun = at.copy()
-        return None if residual or begun != at else out
+            if state == 0:
+                if j == from_b:
+                    return None
+                out.append((a[from_a:i], b[from_b:j]))
+                from_a, from_b = i, j
+        return out if state == 0 else None
 
 
 class Aligner:
@@ -135,32 +152,35 @@ class Aligner:
         self.memo: dict[str, tuple] = {}
 
     def units(self, units: list[str]) -> list[tuple]:
-        """(n_a, n_b, groups, links, groups as text, link keys) of each unit; a unit whose
+        """(n_a, n_b, groups, groups as text, link keys as bytes) of each unit; a unit whose
         bytes differ has None for its text. A link's key is A's id times 2^32 plus B's."""
-        memo = self.memo
-        new = list(dict.fromkeys(u for u in units if u not in memo))
-        found = {}
+        memo, found = self.memo, {}
+        new = list({u for u in units if u not in memo})
         # the tokenizers' own objects of many texts at once are large
         for lo in range(0, len(new), 4_096):
             part = new[lo : lo + 4_096]
             for u, a, b in zip(part, self.encode_a(part), self.encode_b(part), strict=True):
                 found[u] = self._aligned(u, a, b)
+        out = [memo[u] if u in memo else found[u] for u in units]
         if len(memo) > KEPT:
-            found = {u: memo[u] if u in memo else found[u] for u in units}
             memo.clear()
-        out = [memo[u] if u in memo else found[u] for u in units]
         memo.update((u, x) for u, x in found.items() if len(u) <= LONGEST)
         return out
 
     def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple:
-        whole = unit.encode()
-        same = all(b"".join(map(of.__getitem__, ids)) == whole for of, ids in zip(self.spelled, (a, b), strict=True))
-        groups = self.transducer.groups(a, b) if same else None
+        spelled = self.spelled[0]
+        groups = self.transducer.groups(a, b) if b"".join([spelled[i] for i in a]) == unit.encode() else None
         if groups is None:
-            return 0, 0, 0, 0, None, np.empty(0, np.int64)
-        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        keys = np.concatenate([(np.array(x, np.int64)[:, None] << 32 | np.array(y, np.int64)).ravel() for x, y in groups])
-        return len(a), len(b), len(groups), len(keys), text, keys
+            return 0, 0, 0, None, b""
+        keys, texts = array("q"), []
+        for x, y in groups:
+            if len(x) == len(y) == 1:
+                texts.append(f"{x[0]}|{y[0]}")
+                keys.append(x[0] << 32 | y[0])
+            else:
+                texts.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+                keys.extend([i << 32 | k for i in x for k in y])
+        return len(a), len(b), len(groups), ";".join(texts), keys.tobytes()
 
 
 def units_of(text: str) -> list[str]:
@@ -188,15 +208,16 @@ def _aligned_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def batch(aligner: Aligner, r: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
         cut = [units_of(" " + t) if t else [] for t in texts]
         found = iter(aligner.units([u for units in cut for u in units]))
-        out = []
+        out, empty = [], np.empty(0, np.int64)
         for units in cut:
             own = [next(found) for _ in units]
-            if not own or any(x[4] is None for x in own):
-                out.append((0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)))
+            n_a, n_b, groups, as_text, links = zip(*own, strict=True) if own else ((), (), (), (None,), ())
+            if None in as_text:
+                out.append((0, 0, 0, 0, "", empty, empty))
                 continue
-            counts = [sum(x[n] for x in own) for n in range(4)]
-            keys, times = np.unique(np.concatenate([x[5] for x in own]), return_counts=True)
-            out.append((*counts, hashlib.sha256(";".join(x[4] for x in own).encode()).hexdigest(), keys, times))
+            links = np.frombuffer(b"".join(links), np.int64)
+            keys, times = np.unique(links, return_counts=True)
+            out.append((sum(n_a), sum(n_b), sum(groups), len(links), hashlib.sha256(";".join(as_text).encode()).hexdigest(), keys, times))
         *counts, digest, keys, times = zip(*out, strict=True)
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         as_list = lambda parts, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(kind)))
