@@ -19,6 +19,8 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .memo import Memo
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -33,8 +36,7 @@ PIECE_BPE = "piece_bpe_32k.model"
 #: White space in any sense that a tokenizer might have.
 _SPACE = r"\s\x1c-\x1f\x85\u200b\u2060\ufeff\u2581"
 _UNIT = re.compile(rf"(?<=[^{_SPACE}])(?= [^{_SPACE}])")
-#: Longer units are not kept; a memo of so many is cleared.
-LONGEST = 48
+#: Units in a generation of a worker's memo.
 KEPT = 250_000
 #: Transitions kept.
 MOVES = 200_000
@@ -149,22 +151,16 @@ class Aligner:
         (self.encode_a, spelled_a), (self.encode_b, spelled_b) = a, b
         self.transducer = Transducer(spelled_a, spelled_b)
         self.spelled = (spelled_a, spelled_b)
-        self.memo: dict[str, tuple] = {}
+        #: (n_a, n_b, groups, groups as text, link keys as bytes) of units; one whose bytes
+        #: differ has None for its text. A link's key is A's id times 2^32 plus B's.
+        self.units = Memo(self._made, KEPT)
 
-    def units(self, units: list[str]) -> list[tuple]:
-        """(n_a, n_b, groups, groups as text, link keys as bytes) of each unit; a unit whose
-        bytes differ has None for its text. A link's key is A's id times 2^32 plus B's."""
-        memo, found = self.memo, {}
-        new = list({u for u in units if u not in memo})
+    def _made(self, units: list[str]) -> list[tuple]:
+        out = []
         # the tokenizers' own objects of many texts at once are large
-        for lo in range(0, len(new), 4_096):
-            part = new[lo : lo + 4_096]
-            for u, a, b in zip(part, self.encode_a(part), self.encode_b(part), strict=True):
-                found[u] = self._aligned(u, a, b)
-        out = [memo[u] if u in memo else found[u] for u in units]
-        if len(memo) > KEPT:
-            memo.clear()
-        memo.update((u, x) for u, x in found.items() if len(u) <= LONGEST)
+        for lo in range(0, len(units), 4_096):
+            part = units[lo : lo + 4_096]
+            out += map(self._aligned, part, self.encode_a(part), self.encode_b(part))
         return out
 
     def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple:
@@ -183,6 +179,12 @@ class Aligner:
         return len(a), len(b), len(groups), ";".join(texts), keys.tobytes()
 
 
+@lru_cache(1)
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """The worker's aligner, which later tasks use again."""
+    return Aligner(byte_bpe(path_a), piece_bpe(path_b))
+
+
 def units_of(text: str) -> list[str]:
     """The pieces of a text that begins with a space, cut before single spaces between
     characters that are no white space."""
@@ -193,7 +195,7 @@ def _aligned_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, row, digest columns, links: distinct link keys, times: how often each)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_bpe(path_a), piece_bpe(path_b))
+        aligner = _aligner(path_a, path_b)
         for r in rows:
             lo = 0
             texts = r["text"].to_pylist()
@@ -210,8 +212,8 @@ def _aligned_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         found = iter(aligner.units([u for units in cut for u in units]))
         out, empty = [], np.empty(0, np.int64)
         for units in cut:
-            own = [next(found) for _ in units]
-            n_a, n_b, groups, as_text, links = zip(*own, strict=True) if own else ((), (), (), (None,), ())
+            own = islice(found, len(units))
+            n_a, n_b, groups, as_text, links = zip(*own, strict=True) if units else ((), (), (), (None,), ())
             if None in as_text:
                 out.append((0, 0, 0, 0, "", empty, empty))
                 continue

@@ -20,11 +20,14 @@ verified without the others.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +36,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .memo import Memo
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
 
-BLOCK = 1 << 19
-LANES = 1_024
+BLOCK = 1 << 20
+LANES = 2_048
 #: Ids of a lane at least, if a block is small.
 LEAST_STEPS = 256
 #: Bits of a slot number of orders 1 and 2, and steps between two sums of the counts.
-SLOTS, REFRESH = 16, 4
-GAIN, LIMIT = 24, 1 << 21
-TOTAL = 1 << 24
+SLOTS, REFRESH = 16, 8
+#: What an occurrence adds to a count, and the sum at which counts are halved.
+GAIN, LIMIT = 24, 1 << 25
+#: The length of the line of all shares, and of order 0's own.
+TOTAL, ORDER0_BITS = 1 << 24, 21
+ORDER0 = 1 << ORDER0_BITS
 #: Share that order 0 keeps at least.
 FLOOR = 1 << 21
 SURE = 15
@@ -62,17 +69,32 @@ class Model:
         self.sure = [np.zeros(1 << SLOTS, np.int64) for _ in range(2)]
         self.counts = np.ones(vocabulary, np.int64)
         self.before = [np.zeros(lanes, np.int64) for _ in range(2)]
+        self.numbers = np.arange(vocabulary + 1)
         kinds = 2 * (SURE + 1) ** 2
-        # tries and hits of order 2 and 1, in sixteenths; some are given in advance
-        self.tries, self.hits = np.full(kinds, 64, np.int64), [np.full(kinds, 8, np.int64) for _ in range(2)]
-        self.steps = 0
+        # tries and hits of order 2 and 1; some are given in advance
+        self.tries, self.hits = np.full(kinds, 4.0), [np.full(kinds, 0.5) for _ in range(2)]
+        self.steps, self.seen = 0, []
         self._sum()
+        self._weigh()
 
     def _sum(self) -> None:
-        while self.counts.sum() > LIMIT:
+        """Takes what was seen into the counts, their sums and the weights. Counts are scaled
+        to ORDER0 in all, one for each id at least. Whole numbers this small are exact in
+        double precision, so a decoder anywhere finds the same."""
+        if self.seen:
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.vocabulary) * GAIN
+            self.seen = []
+        while (total := int(self.counts.sum())) > LIMIT:
             self.counts = (self.counts + 1) >> 1
-        self.below = np.concatenate([[0], np.cumsum(self.counts)])
-        self.sum = int(self.below[-1])
+        self.below = np.zeros(self.vocabulary + 1, np.int64)
+        np.cumsum(self.counts, out=self.below[1:])
+        self.below *= ORDER0 - self.vocabulary
+        self.below //= total
+        self.below += self.numbers
+
+    def _weigh(self) -> None:
+        """The weights of orders 2 and 1 for each pair of confidences."""
+        self.shares = [np.floor((TOTAL - FLOOR) * h / self.tries).astype(np.int64) for h in self.hits]
 
     def look(self, live: int) -> None:
         """The guesses for the first ``live`` lanes and the weights of the three orders."""
@@ -83,16 +105,14 @@ class Model:
         self.s = [s[at] for s, at in zip(self.sure, self.at, strict=True)]
         same = self.g[0] == self.g[1]
         self.kind = (self.s[0] * (SURE + 1) + self.s[1]) * 2 + same
-        shares = [(TOTAL - FLOOR) * h // self.tries for h in self.hits]
-        self.w = [s[self.kind] for s in shares]
-        self.w[1][same] = 0
+        self.w = [s[self.kind] for s in self.shares]
+        self.w[1] *= ~same
         self.rest = TOTAL - self.w[0] - self.w[1]
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids' shares begin, and their sizes."""
-        low = self.below[ids] * self.rest // self.sum
-        high = self.below[ids + 1] * self.rest // self.sum
-        size = high - low
+        low = self.below[ids] * self.rest >> ORDER0_BITS
+        size = (self.below[ids + 1] * self.rest >> ORDER0_BITS) - low
         for g, w in zip(self.g, self.w, strict=True):
             low += w * (g < ids)
             size += w * (g == ids)
@@ -100,42 +120,39 @@ class Model:
 
     def find(self, place: np.ndarray) -> np.ndarray:
         """The ids in whose shares the places lie."""
-        swap = self.g[0] > self.g[1]
-        first, last = np.where(swap, self.g[1], self.g[0]), np.where(swap, self.g[0], self.g[1])
-        w_first, w_last = np.where(swap, self.w[1], self.w[0]), np.where(swap, self.w[0], self.w[1])
-        found = np.full(len(place), -1, np.int64)
-        rest = place.copy()
-        for g, w in ((first, w_first), (last, w_last)):
-            begin = self.below[g] * self.rest // self.sum
-            end = self.below[g + 1] * self.rest // self.sum + w
-            inside = (found < 0) & (begin <= rest) & (rest < end)
-            found[inside] = g[inside]
-            rest -= w * (rest >= end)
-        plain = found < 0
-        wanted = ((rest[plain] + 1) * self.sum - 1) // self.rest[plain]
+        (g, h), (w, v) = self.g, self.w
+        found, rest = None, place.copy()
+        for own, other, more, others in ((g, h, w, v), (h, g, v, w)):
+            begin, size = self.below[own] * self.rest >> ORDER0_BITS, self.below[own + 1] * self.rest >> ORDER0_BITS
+            size += more - begin
+            begin += others * (other < own)
+            past = place - begin
+            inside = (past >= 0) & (past < size)
+            rest -= more * (past >= size)
+            found = np.where(inside, own, -1 if found is None else found)
+        plain = np.flatnonzero(found < 0)
+        # the greatest number of counts whose share of the line is not past the place
+        wanted = np.floor(((rest[plain] + 1) * ORDER0 - 1) / self.rest[plain]).astype(np.int64)
         found[plain] = np.searchsorted(self.below, wanted, "right") - 1
         return found
 
     def learn(self, ids: np.ndarray) -> None:
         hits = [g == ids for g in self.g]
-        hits[1] &= ~hits[0]
-        kinds = len(self.tries)
-        self.tries += 16 * np.bincount(self.kind, minlength=kinds)
-        for own, hit in zip(self.hits, hits, strict=True):
-            own += 16 * np.bincount(self.kind[hit], minlength=kinds)
-        if self.tries.max() > 1 << 20:
-            self.tries, self.hits = (self.tries + 1) >> 1, [h >> 1 for h in self.hits]
+        kinds, live = len(self.tries), len(ids)
         for n in range(2):
-            right = self.g[n] == ids
-            self.sure[n][self.at[n]] = np.where(right, np.minimum(self.s[n] + 1, SURE), self.s[n] >> 1)
-            turn = ~right & (self.s[n] < 2)
-            self.guess[n][self.at[n][turn]] = ids[turn]
-        live = len(ids)
+            right, s, at = hits[n], self.s[n], self.at[n]
+            self.sure[n][at] = np.where(right, np.minimum(s + 1, SURE), s >> 1)
+            turn = np.flatnonzero(~right & (s < 2))
+            self.guess[n][at[turn]] = ids[turn]
+        self.tries += np.bincount(self.kind, minlength=kinds)
+        self.hits[0] += np.bincount(self.kind[hits[0]], minlength=kinds)
+        self.hits[1] += np.bincount(self.kind[hits[1] & ~hits[0]], minlength=kinds)
+        self._weigh()
         self.before[1][:live] = self.before[0][:live]
         self.before[0][:live] = ids
-        self.counts += GAIN * np.bincount(ids, minlength=self.vocabulary)
+        self.seen.append(ids)
         self.steps += 1
-        if self.steps % REFRESH == 0 or self.steps < 2 * REFRESH:
+        if self.steps % REFRESH == 0 or self.steps < REFRESH:
             self._sum()
 
 
@@ -282,32 +299,34 @@ class Encoder:
     the tokenizer is asked once for each piece between spaces or line ends that a bounded
     memo holds."""
 
-    KEPT = 500_000
-    LONGEST = 48
+    KEPT = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = max(self.tokenizer.get_vocab_size(), END_ID + 1)
-        self.memo: dict[str, list[int]] = {}
+        self.ids = Memo(self._made, self.KEPT)
 
-    def __call__(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text and the end id."""
-        memo = self.memo
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({p for own in pieces for p in own if p not in memo})
-        found = {}
-        for lo in range(0, len(new), 8_192):
-            part = new[lo : lo + 8_192]
-            found.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = found.get
-        out = [[i for p in own for i in (memo[p] if p in memo else get(p))] + [END_ID] for own in pieces]
-        if len(memo) > self.KEPT:
-            memo.clear()
-        memo.update((p, x) for p, x in found.items() if len(p) <= self.LONGEST)
+    def _made(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(pieces), 4_096):
+            found = self.tokenizer.encode_batch_fast(pieces[lo : lo + 4_096], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
         return out
 
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id, as 32-bit integers of this machine."""
+        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        found, end = iter(self.ids([p for own in pieces for p in own])), array("I", [END_ID]).tobytes()
+        return [b"".join(islice(found, len(own))) + end for own in pieces]
+
+
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder, which later tasks use again."""
+    return Encoder(path)
+
 
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
@@ -329,14 +348,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         path = f"{folder}/{number:06d}-{uuid.uuid4().hex}.ids"
         fs, local = _open(path)
         totals, held, out = [0, 0, 0], [], None
 
         def flush() -> None:
-            ids = np.array([i for _, own in held for i in own], np.uint32)
-            block = pack([d for d, _ in held], np.array([len(own) for _, own in held]), ids, encoder.vocabulary)
+            ids = np.frombuffer(b"".join([own for _, own in held]), np.uint32)
+            block = pack([d for d, _ in held], np.array([len(own) // 4 for _, own in held]), ids, encoder.vocabulary)
             out.write(block)
             for n, more in enumerate((len(held), len(ids), len(block))):
                 totals[n] += more
@@ -351,7 +370,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
                         fs.create_dir(os.path.dirname(local), recursive=True)
                         out = fs.open_output_stream(local)
                     held.append((doc_id, own))
-                    waiting += len(own)
+                    waiting += len(own) // 4
                     if waiting >= BLOCK:
                         flush()
                         waiting = 0

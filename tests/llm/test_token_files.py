@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dossiermill.llm import token_files
+from dossiermill.llm.memo import Memo
 
 from .corpus import documents, frame, words
 
@@ -22,6 +23,10 @@ def plain(texts):
     return [e.ids + [1] for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def as_lists(found):
+    return [np.frombuffer(x, np.uint32).tolist() for x in found]
+
+
 def sequences():
     rng = np.random.default_rng(4)
     yield np.empty(0, np.uint32), 5
@@ -104,7 +109,7 @@ def test_damage_is_noticed():
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", "　", "İ", "ΑΣ", "é", "e", "don't", "<|endoftext|>", "<|startoftext|>x", "日", "9", "🙂"]) | st.text(max_size=4), max_size=12))
 def test_pieces_equal_whole_texts(parts):
     text = "".join(parts).encode("utf-8", "ignore").decode()
-    assert ENCODER([text]) == plain([text])
+    assert as_lists(ENCODER([text])) == plain([text])
 
 
 ENCODER = token_files.Encoder(PATH)
@@ -138,11 +143,19 @@ def test_no_documents(spark, tmp_path):
     assert token_files.read(files).count() == 0
 
 
-def test_memo_may_be_cleared(monkeypatch):
+def test_memo_forgets(monkeypatch):
+    monkeypatch.setattr(token_files.Encoder, "KEPT", 5)
     own = token_files.Encoder(PATH)
-    monkeypatch.setattr(own, "KEPT", 5)
     rng = random.Random(6)
     for _ in range(8):
         texts = [words(rng, 20, 30) for _ in range(4)] + [None, ""]
-        assert own(texts) == plain(texts)
-        assert len(own.memo) < 200
+        assert as_lists(own(texts)) == plain(texts)
+        assert len(own.ids.young) <= 5
+
+
+def test_memo_keeps_what_is_used():
+    asked = []
+    memo = Memo(lambda keys: asked.extend(keys) or [k.upper() for k in keys], 3)
+    for own in (["a", "b"], ["c", "d"], ["a"], ["e", "f", "g"], ["a", "b"], ["x" * 60, "a"]):
+        assert memo(own) == [k.upper() for k in own]
+    assert sorted(asked) == ["a", "b", "b", "c", "d", "e", "f", "g", "x" * 60] and "x" * 60 not in memo.young
