@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chemistry
+from ..functions import chemistry, molecules
 
 CANDIDATE = ("formula", "structure", "calculated", "fragments")
 
@@ -32,10 +32,27 @@ def outcomes(candidates: DataFrame, errors: DataFrame) -> DataFrame:
     return rows.select("cas", "outcome", *(F.when(F.col("outcome") == "resolved", F.col(f"_one.{c}")).alias(c) for c in CANDIDATE), "message")
 
 
+def normalized(candidates: DataFrame) -> DataFrame:
+    """``candidates`` (cas, cid, smiles, connectivity, formula) with what their structures
+    say: ``structure``, ``calculated`` formula, ``weight``, ``charge``, ``fragments``, whether
+    the connectivity had to do for a missing full SMILES text (``fallback``), ``mismatch``
+    (the formulas count other atoms) and ``review`` (a mismatch or several parts). Blank
+    texts are texts, and no structures."""
+    source = molecules.preferred(F.col("smiles"), F.col("connectivity"))
+    rows = candidates.withColumn("_s", molecules.read_structure(source))
+    structure = F.when(source.isNull(), "missing").when(F.col("_s.formula").isNull(), "invalid").otherwise("normalized")
+    rows = rows.select(
+        *candidates.columns, structure.alias("structure"), F.col("_s.formula").alias("calculated"), F.col("_s.weight").alias("weight"), F.col("_s.charge").alias("charge"),
+        F.col("_s.fragments").alias("fragments"), (F.col("smiles").isNull() & F.col("connectivity").isNotNull()).alias("fallback"),
+    )
+    rows = rows.withColumn("mismatch", F.coalesce(~molecules.equivalent(F.col("formula"), F.col("calculated")), F.lit(False)))
+    return rows.withColumn("review", F.col("mismatch") | F.coalesce(F.col("fragments") > 1, F.lit(False)))
+
+
 def identified(components: DataFrame, known: DataFrame) -> DataFrame:
     """``components`` (doc, pos, cas) with the outcome of their lookups and the formula to
     publish: none if the structure's own formula is another one."""
-    rows = components.select("doc", "pos", "cas").join(known, "cas", "left").withColumn("mismatch", _parsed() & F.coalesce(F.col("formula") != F.col("calculated"), F.lit(False)))
+    rows = components.select("doc", "pos", "cas").join(known, "cas", "left").withColumn("mismatch", _parsed() & F.coalesce(~molecules.equivalent(F.col("formula"), F.col("calculated")), F.lit(False)))
     return rows.withColumn("published_formula", F.when(~F.col("mismatch"), F.col("formula")))
 
 
