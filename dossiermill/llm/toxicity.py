@@ -149,21 +149,28 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.inputs(log_none, expected) @ self.curve, -30, 30)))
 
 
+def _no_evidence() -> Field:
+    """A field without words, which marks nothing."""
+    empty = Field(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0))
+    empty.curve = np.array([-2.0, 0.0, 0.0])
+    return empty
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """Fits on the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic)
-    marks 0 or 1. Without both kinds, every score is one half or below."""
+    marks 0 or 1. Without documents of both kinds, every score is one half or below."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if set(sizes) != {0, 1}:
-        empty = Field(np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0))
-        empty.curve = np.array([-2.0, 0.0, 0.0])
-        return empty
+        return _no_evidence()
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_docs / sizes[1]))).otherwise(F.lit(min(1.0, sample_docs / sizes[0])))
     drawn = known.where(hashed_share("doc_id") < rate)
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")
     sample = common.stored(sample.dropDuplicates())  # copies are no further evidence
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not n0 or not n1:
+        return _no_evidence()
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
