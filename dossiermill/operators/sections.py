@@ -64,7 +64,7 @@ PRTR = "H350 H351 H340 H341 H400 H410".split()
 
 # Patterns of words and notations, upper and lower case alike.
 PROPRIETARY = r"proprietary|trade.?secret|confidential|not.?disclosed|withheld|未特定|機密|専売品|不明|秘密|未公開|営業秘密|商业机密|保密|不公开|未知"
-NOT_REGULATED = r"not regulated|非危険物|not dangerous|無資料|規制されていない|規制対象外|危険物に該当しない|not subject|no regulation|非危险|該当なし|該当しない|not classify|not applicable|n/a"
+NOT_REGULATED = r"not regulated|非危険物|not dangerous|無資料|規制されていない|規制対象外|危険物に該当しない|not subject|no regulation|非危险|该当なし|该当しない|not classify|not applicable|n/a"
 UN_NUMBER = r"\bUN\s?\d{4}\b|UN\s*[Nn][Oo][\.\s]*[)）]?\s*[：:]\s*\d{4}|聯合國編號[^0-9]{0,10}\d{4}|联合国编号[^0-9]{0,10}\d{4}|联合国危险货物编号[^0-9]{0,10}\d{4}"
 EYE_WORDS = r"eye|眼|rinse|洗眼|目|look\b|コンタクトレンズ|まぶた|contact.*lens|eyelid"
 CLOTHING = r"remov.*cloth|take.?off.*cloth|contaminat.*cloth|衣類.*脱|脱.*衣|汚染.*衣|除去.*衣|脱去.*衣|立即.*脱|立刻.*脱|脱掉|脫掉|脫去|脫.*衣"
@@ -73,7 +73,7 @@ COOL = r"涼しい|冷所|冷暗|low temperature|冷凉处|低温|keep cool|cool
 OEL_NUMBER = r"\d+\.?\d*[*＊]*\s*(mg/m|ppm|mg/L|f/cc|µg)|(mg/m\d*|ppm|mg/L)[^0-9A-Za-z]{0,5}\d+\.?\d*"
 OEL_NONE = (
     r"設定されていない|not established|not set|no limit|not available|情報なし|なし|N/A|does not contain|含有していない|含まれていない|限界値.*含有|"
-    r"no hazardous material|no applicable|not required|no substances.*limit|没有.*接触限值|无职业接触限值|不适用|无需监控|未制订|无资料|不监控|監視.*不.*含|"
+    r"no hazardous material|no applicable|not required|no substances.*limit|没有.*接触限值|无职业接触限值|不适用|无需监控|未制订|无资料|不监控|监视.*不.*含|"
     r"该产品不含|不要求|未設定|使用粉尘的职业接触限值|在控制.*职业接触限值|不含.*職業接觸限值|不含.*職業暴露極限值|不含有职业接触限值|不含.*职业接触限值|"
     r"无.*职业接触限值的物质|無相關|無相關職業接觸限值|無相關職業暴露|無資料|\b無\b|\b无\b|No biological limit|no.*biological.*limit|not.*allocated|"
     r"無職業接觸限值|未建立職業接觸限值|無職業接觸限值資料|[：:]\s*[-－—]\s*[；;]|[：:]\s*[-－—]\s*$"

@@ -21,6 +21,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.when(key % 10 != 3, F.col("h_code"))
     p = F.when(key % 12 != 5, pick(chemistry.P_CODES, key * 17 + pos * 29))
     per_doc = parts.groupBy("doc").agg(F.collect_set(h).alias("h_codes"), F.collect_set(p).alias("p_codes"), F.collect_list(F.coalesce(h, F.lit(""))).alias("statements"))
+    per_doc = per_doc.withColumn("statements", F.when(key % 14 == 6, F.array().cast("array<string>")).otherwise(F.col("statements")))
     docs = derived.documents(spark, sf_dir).select("doc", "lang").join(per_doc, "doc")
     pictograms = F.when(key % 5 == 0, F.array().cast("array<string>")).when(key % 11 == 0, F.array(F.lit("flame"), F.lit("GHS07"))).otherwise(F.array(F.concat(F.lit("GHS0"), (key % 9 + 1).cast("string"))))
     return docs.withColumns({"signal": pick(SIGNALS, key), "pictograms": pictograms, "classification": F.when(key % 9 != 0, "some")})
@@ -40,7 +41,7 @@ def _rules_sql() -> str:
         ("S2-MULTIPLE-SIGNAL-WORDS", "HIGH", f"{bad} AND signal = '危険、警告'"), ("S2-INVALID-SIGNAL-WORD", "MED", f"{bad} AND signal <> '危険、警告'"),
         ("S2-KATAKANA-SIGNAL-WORD", "HIGH", "lang IN ('zh-cn', 'zh-tw') AND signal = 'ダメ'"), ("S2-NON-ENGLISH-SIGNAL-WORD", "MED", f"signal <> '' AND lang = 'en' AND NOT list_contains({english}, lower(signal))"),
         ("S2-H224-NO-DANGER", "HIGH", f"signal <> '' AND {has(['H224'])} AND NOT {is_in(danger)}"), ("S2-H226-ALONE-DANGER", "MED", f"{is_in(danger)} AND {has(['H226'])} AND NOT list_has_any(h, {severe})"),
-        ("S2-HS-CODES-EMPTY", "CRIT", f"len(h) = 0 AND {is_in(active)}"), ("S2-SIGNAL-NO-HCODES", "HIGH", f"{is_in(active)} AND len(h) = 0"),
+        ("S2-HS-CODES-EMPTY", "CRIT", f"len(h) = 0 AND {is_in(active)} AND doc % 14 <> 6"), ("S2-SIGNAL-NO-HAZARDSTATEMENT", "HIGH", f"{is_in(active)} AND doc % 14 = 6"), ("S2-SIGNAL-NO-HCODES", "HIGH", f"{is_in(active)} AND len(h) = 0"),
         ("S2-TOO-MANY-HCODES", "MED", "len(h) > 12"), ("S2-DANGER-NO-CAT12", "MED", f"{is_in(danger)} AND len(h) > 0 AND NOT list_has_any(h, {severe})"),
         ("S2-NO-PCODES", "HIGH", "signal <> '' AND len(h) > 0 AND len(p) = 0"), ("S2-DANGER-FEW-PCODES", "MED", f"{is_in(danger)} AND len(p) BETWEEN 1 AND 3"), ("S2-WARNING-FEW-PCODES", "MED", f"{is_in(warning)} AND len(p) BETWEEN 1 AND 2"),
         *((name, "MED", f"{has(h)} AND NOT list_has_any(p, {_sql(p)})") for name, h, p in quality.NEEDS_ANY),
