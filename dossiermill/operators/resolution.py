@@ -53,17 +53,16 @@ def entry_reasons(entries: DataFrame, sources: DataFrame) -> DataFrame:
     return entries.join(first, ["product", "evidence_id"], "left").withColumn("reason", reason)
 
 
-def resolved(products: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
-    """(product, property, status, reason, value, level): one row for each product and
-    property. Without entries a human has to decide; if no entry is eligible the first
-    entry's reason holds; eligible entries that disagree are a conflict; the first
-    eligible entry needs a method, and vapour pressure a temperature."""
+def _judged(products: DataFrame, entries: DataFrame, sources: DataFrame) -> tuple[DataFrame, Column]:
+    """(product, property, best: the first eligible entry) of every product and property, and
+    the reason why it is not resolved (null if it is)."""
+    kept = dict.fromkeys(["value", "method", "temperature", "level", *entries.columns])
     checked = entry_reasons(entries, sources)
     ok = F.col("reason").isNull()
     grouped = checked.groupBy("product", "property").agg(
         F.min_by("reason", F.when(~ok, F.col("pos"))).alias("first_reason"),
         F.count_distinct(F.when(ok, F.col("value"))).alias("values"),
-        F.min_by(F.struct("value", "method", "temperature", "level"), F.when(ok, F.col("pos"))).alias("best"),
+        F.min_by(F.struct(*(c for c in kept if c not in ("product", "property", "pos"))), F.when(ok, F.col("pos"))).alias("best"),
         F.count_if(ok).alias("eligible"),
     )
     names = F.explode(F.array(*map(F.lit, POLICIES))).alias("property")
@@ -75,6 +74,21 @@ def resolved(products: DataFrame, entries: DataFrame, sources: DataFrame) -> Dat
         .when(F.col("values") > 1, "conflicting_sources")
         .when(incomplete, "insufficient_measurement_conditions")
     )
+    return every, reason
+
+
+def resolving_entries(products: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """The entry that resolves each property that is resolved, with all its columns."""
+    every, reason = _judged(products, entries, sources)
+    return every.where(reason.isNull()).select("product", "property", "best.*")
+
+
+def resolved(products: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(product, property, status, reason, value, level): one row for each product and
+    property. Without entries a human has to decide; if no entry is eligible the first
+    entry's reason holds; eligible entries that disagree are a conflict; the first
+    eligible entry needs a method, and vapour pressure a temperature."""
+    every, reason = _judged(products, entries, sources)
     status = F.when(reason.isNull(), "resolved").otherwise("unresolved")
     return every.select("product", "property", status.alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("best.value")).alias("value"), F.when(reason.isNull(), F.col("best.level")).alias("level"))
 
