@@ -57,20 +57,6 @@ def failures_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.failures_by_rule(grading.facts(spark, sf_dir), "doc")
 
 
-@query(BY_RULE + ", s AS (SELECT 'S' || i AS section FROM range(1, 17) t(i)) SELECT section, CAST(sum(n) AS BIGINT) AS n FROM s JOIN by_rule ON starts_with(rule, section) GROUP BY section")
-def failures_by_section_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.failures_by_section(corpus.failures_by_rule(_validator_and_component_facts(spark, sf_dir), "doc"))
-
-
-@query(BY_RULE + ", s AS (SELECT 'S' || i AS section FROM range(1, 17) t(i)) SELECT section, CAST(sum(n) AS BIGINT) AS n FROM s JOIN by_rule ON regexp_extract(rule, '^(S[0-9]+)', 1) = section GROUP BY section")
-def failures_by_section_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.failures_by_section(corpus.failures_by_rule(_validator_and_component_facts(spark, sf_dir), "doc"), "fixed")
-
-
-def _validator_and_component_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grading.facts(spark, sf_dir)
-
-
 @query(GRADED + " SELECT lang, count(*) AS n_docs, count(DISTINCT supplier) AS n_suppliers, CAST(sum(crit) AS BIGINT) AS n_crit, CAST(sum(high) AS BIGINT) AS n_high, CAST(sum(med) AS BIGINT) AS n_med FROM graded GROUP BY lang")
 def per_lang_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.severities_by(grading.graded(spark, sf_dir), "lang", "supplier")
