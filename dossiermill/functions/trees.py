@@ -1,7 +1,7 @@
 """JSON trees: leaves, text, pruning, flattening and repair.
 
-``json_leaves`` is a table function in one pass that keeps key order; the others are
-small per-row helpers."""
+``json_leaves`` is one native expression that keeps key order; the others are small per-row
+helpers."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -27,23 +27,46 @@ def leaves(value: object, path: str = "") -> Iterator[tuple[str, str, object]]:
         yield path, re.sub(r"(\[\d+\])+$", "", path).rpartition(".")[2], value
 
 
-class JsonLeaves:
-    """(ord, path, key, value, type) of a JSON text's leaves; none if it is no JSON."""
-
-    def eval(self, text: str):  # noqa: ANN201
-        try:
-            value = json.loads(text) if text else None
-        except ValueError:
-            return
-        if value is None:
-            return
-        for n, (path, key, leaf) in enumerate(leaves(value)):
-            kind = "null" if leaf is None else {bool: "boolean", str: "string"}.get(type(leaf), "number")
-            yield n, path, key, leaf if isinstance(leaf, str) else None if leaf is None else json.dumps(leaf), kind
-
-
-def register(spark: SparkSession) -> None:
-    spark.udtf.register("json_leaves", F.udtf(JsonLeaves, returnType="ord int, path string, key string, value string, type string"))
+#: Levels below the root that ``json_leaves`` walks down.
+DEPTH = 12
+LEAF = "struct<path:string,key:string,value:string,type:string>"
+_ENTRY = "array<struct<path:string,key:string,text:string,type:string>>"
+
+
+def _children(text: Column, path: Column, key: Column, kind: Column) -> Column:
+    """The entries of an object or array given as JSON text, in document order; each has
+    its own text and what it is. The texts come from one reading, the types from another."""
+    of = lambda schema: F.from_json(text, schema)
+    type_of = lambda v: F.when(v.isNull(), "VOID").otherwise(F.schema_of_variant(v))
+    child = lambda p, k, t, v: F.struct(p.alias("path"), k.alias("key"), t.alias("text"), type_of(v).alias("type"))
+    names = F.map_keys(of("map<string,string>"))
+    under = lambda k: F.when(path == "", k).otherwise(F.concat(path, F.lit("."), k))
+    objects = F.transform(F.arrays_zip(names.alias("k"), F.map_values(of("map<string,string>")).alias("t"), F.map_values(of("map<string,variant>")).alias("v")), lambda e: child(under(e["k"]), e["k"], e["t"], e["v"]))
+    numbered = F.arrays_zip(of("array<string>").alias("t"), of("array<variant>").alias("v"))
+    items = F.transform(numbered, lambda e, n: child(F.concat(path, F.lit("["), n.cast("string"), F.lit("]")), key, e["t"], e["v"]))
+    return F.when(F.startswith(kind, F.lit("OBJECT")), objects).when(F.startswith(kind, F.lit("ARRAY")), items)
+
+
+def _leaves(text: Column, path: Column, key: Column, kind: Column, depth: int) -> Column:
+    name = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
+    own = F.array(F.struct(path.alias("path"), key.alias("key"), F.when(kind != "VOID", text).alias("value"), name.alias("type")))
+    inner = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    if not depth:
+        # what lies deeper is one leaf, its JSON text
+        return own
+    below = F.transform(_children(text, path, key, kind), lambda e: _leaves(e["text"], e["path"], e["key"], e["type"], depth - 1))
+    return F.when(inner, F.flatten(below)).otherwise(own)
+
+
+def json_leaves(text: Column, depth: int = DEPTH) -> Column:
+    """The leaves (path, key, value, type) of a JSON text in document order, without Python;
+    null for what is no JSON and for null. Empty objects and arrays have no leaves; numbers
+    keep their digits; what lies deeper than ``depth`` is one leaf with its JSON text."""
+    root = F.try_parse_json(text)
+    kind = F.when(root.isNull(), F.lit(None)).otherwise(F.schema_of_variant(root))
+    # a text alone has quotes around it
+    plain = F.when(kind == "STRING", root.cast("string")).otherwise(text)
+    return F.when(root.isNotNull(), _leaves(plain, F.lit(""), F.lit(""), kind, depth))
 
 
 def pruned(value: object) -> object:

@@ -239,9 +239,8 @@ WITH r AS (SELECT o_orderkey, o_custkey FROM orders)
 SELECT o_orderkey AS doc, unnest(['Doc.Id', 'Doc.Names[0]', 'Doc.Names[1]', 'Doc.Blank', 'Doc.None', 'Doc.Rows[0].V']) AS path, unnest([CAST(o_orderkey AS VARCHAR), 'a', 'b ' || o_custkey, ' ', NULL, CAST(o_custkey % 7 AS VARCHAR)]) AS value,
   unnest(['number', 'string', 'string', 'string', 'null', 'number']) AS type, CAST(unnest(range(0, 6)) AS INTEGER) AS ord FROM r""")
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees.register(spark)
-    derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), _record_json().alias("json")).createOrReplaceTempView("record_json")
-    return spark.sql("SELECT doc, l.path, l.value, l.type, l.ord FROM record_json, LATERAL json_leaves(json) l")
+    rows = derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), _record_json().alias("json"))
+    return rows.select("doc", F.posexplode(trees.json_leaves(F.col("json"))).alias("ord", "leaf")).select("doc", "leaf.path", "leaf.value", "leaf.type", "ord")
 
 
 @query("SELECT o_orderkey AS doc, '{\"Doc\": {\"Id\": ' || o_orderkey || ', \"Names\": [\"a\", \"b ' || o_custkey || '\"], \"Rows\": [{\"V\": ' || (o_custkey % 7) || '}]}}' AS pruned, o_orderkey || ' a b ' || o_custkey || '   ' || (o_custkey % 7) AS text FROM orders")
