@@ -523,7 +523,7 @@ def test_toxicity_without_labelled_documents(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(5000, 5010)], "doc_id long, quality int, toxic int")
     for docs in (frame(spark, []), frame(spark), frame(spark, [(5000, "a b", None, None, 3)])):
         field = toxicity.fit(docs, labels)
-        assert all(r.score < 0.5 for r in toxicity.scores(docs, field).collect())
+        assert all(r.score < 0.5 for r in toxicity.scored(docs, field).collect())
 
 
 def test_toxicity_without_labels(spark):
