@@ -32,6 +32,15 @@ PROPERTY_PATHS = {
     "SelfReactivity": "StabilityReactivity.SelfReactivity", "OxidizingProperties": "PhysicalChemicalProperties.OxidizingProperties", "CorrosiveToMetals": "HazardIdentification.Classification.PhysicochemicalEffect.CorrosiveToMetals",
 }
 
+# What the report says of how a field was come by.
+FROM_PRODUCT, FROM_COMPONENT = "supplied in ProductInput", "supplied in ComponentInput"
+CHECKED, VALIDATED = "supplied and check-digit validated", "supplied and structurally validated"
+LOOKED_UP = "CAS lookup through existing enrichment layer (PubChem)"
+MEASURED = "resolved from supplied measured-property evidence"
+FULL_SMILES, FALLBACK_SMILES = "PubChem CAS lookup (SMILES)", "PubChem CAS lookup (ConnectivitySMILES fallback)"
+FALLBACK_WARNING = "connectivity-only SMILES used as fallback -- stereochemistry/isotope information may not be represented"
+COMPOUND = "PubChem CID "
+
 #: Positions that are numbered together.
 CELL = 1_024
 
@@ -105,19 +114,19 @@ def provenance(products: DataFrame, components: DataFrame, identities: DataFrame
     ``properties`` (``resolution.resolved``) in policy order, then the structures that
     lookups returned. Ordinals start at 0 and have no gaps."""
     given = {c: F.col(c).isNotNull() for c in PRODUCT_FIELDS} | {"trade_name": F.lit(True), "company_name": F.lit(True), "other_names": F.coalesce(F.size("other_names") > 0, F.lit(False))}
-    own = [F.when(given[c], _supplied(path, "supplied in ProductInput")) for c, path in PRODUCT_FIELDS.items()]
+    own = [F.when(given[c], _supplied(path, FROM_PRODUCT)) for c, path in PRODUCT_FIELDS.items()]
     at = lambda field: F.concat(F.lit(f"{ROWS}["), F.col("index").cast("string"), F.lit(f"].{field}"))
-    compound = F.concat(F.lit("PubChem CID "), F.col("cid").cast("string"))
-    looked_up = lambda field: _entry(at(field), "reference_database", "CAS lookup through existing enrichment layer (PubChem)", "medium", compound)
+    compound = F.concat(F.lit(COMPOUND), F.col("cid").cast("string"))
+    looked_up = lambda field: _entry(at(field), "reference_database", LOOKED_UP, "medium", compound)
     of_component = [
-        F.when(F.col("name").isNotNull(), _supplied(at(GENERIC_NAME), "supplied in ComponentInput")), F.when(F.col("cas").isNotNull(), _supplied(at(CAS_NO), "supplied and check-digit validated")),
+        F.when(F.col("name").isNotNull(), _supplied(at(GENERIC_NAME), FROM_COMPONENT)), F.when(F.col("cas").isNotNull(), _supplied(at(CAS_NO), CHECKED)),
         F.when(F.col("resolved") & F.col("iupac_name").isNotNull(), looked_up(IUPAC_NAME)), F.when(F.col("resolved") & F.col("formula").isNotNull(), looked_up("MolecularFormula")),
-        _supplied(at("Concentration"), "supplied and structurally validated"),
+        _supplied(at("Concentration"), VALIDATED),
     ]
-    measured = _entry(_path(F.col("property")), F.col("level"), "resolved from supplied measured-property evidence", "high")
+    measured = _entry(_path(F.col("property")), F.col("level"), MEASURED, "high")
     fallback = F.coalesce("fallback", F.lit(False))
-    source = F.when(fallback, _entry(SOURCE_SMILES, "reference_database", "PubChem CAS lookup (ConnectivitySMILES fallback)", "medium", compound, F.lit("connectivity-only SMILES used as fallback -- stereochemistry/isotope information may not be represented")))
-    source = source.otherwise(_entry(SOURCE_SMILES, "reference_database", "PubChem CAS lookup (SMILES)", "medium", compound))
+    source = F.when(fallback, _entry(SOURCE_SMILES, "reference_database", FALLBACK_SMILES, "medium", compound, F.lit(FALLBACK_WARNING)))
+    source = source.otherwise(_entry(SOURCE_SMILES, "reference_database", FULL_SMILES, "medium", compound))
     parts = indexed(components, identities)
     listed = lambda rows, part, place, entries: rows.select("product", F.lit(part).alias("part"), place.cast("long").alias("place"), F.array_compact(F.array(*entries)).alias("entries"))
     rows = listed(products, 0, F.lit(0), own).unionByName(listed(parts, 1, F.col("index"), of_component))
