@@ -8,7 +8,7 @@ the weights of orders 2 and 1, and order 0 has the rest, so every id has a posit
 
 **Coder.** A block's ids are cut into LANES runs that are coded in step: every step codes one
 id of each lane by a range coder of its own, then the shared models learn from all of
-them. All of it is integer arithmetic, so the decoder repeats it exactly.
+them. Integers and exact quotients only take part, so the decoder repeats it exactly.
 
 **Block.** Whole documents until BLOCK ids are reached; models and coders start anew.
 A block is a header of fixed width (magic, numbers of documents and ids, vocabulary,
