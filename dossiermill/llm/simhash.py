@@ -22,12 +22,19 @@ on. ``one_of_each_group`` therefore has two steps.
    for all texts, the first n - ceil(0.8 n) + 1 are a text's prefix, and two texts at 0.8
    or more share a shingle of their prefixes. Shingles that many texts of a sample have
    come last in the order, so few prefixes hold them; the sample steers the work and
-   never the result. Of the shingles that more than CROWDED prefixes hold, each has a
-   hub, the least text; a text proposes the hub that it shares most with, which joins a
-   group of near copies at a linear cost. Then all texts that share a shingle and are
-   not yet in one group propose each other, if the sizes and the number of shared prefix
-   shingles allow the similarity. Two groups try their pairs in rounds until one links
-   them or all have been tried.
+   never the result. A shingle that is not common is a key, under which few texts meet.
+   Two texts whose prefixes share common shingles only both hold some, and such texts get
+   other keys instead: the pigeonhole again, over the whole set. Sets of n and m shingles
+   differ in at most (n + m) / 9 of them at 0.8, so if a hash of the shingle deals each set
+   into more parts than that, one part at least is the same in both. A part is a few
+   shingles from anywhere in the text, so texts that have a passage in common and are
+   otherwise unlike hardly ever share one, however many texts have the passage.
+   Of the keys that more than CROWDED texts hold, each has a hub, the least text; a text
+   proposes the hub that it shares most keys with, which joins a group of near copies at a
+   linear cost. Then the texts that share a key and are not yet in one group propose each
+   other, if their sizes, the shared keys and the parities of their shingles' hashes allow
+   the similarity. Two groups try their pairs in rounds until one links them or all have
+   been tried.
 
 Every proposed pair, of either step, is decided by the exact Jaccard similarity of its
 texts. Only the texts of proposed pairs are fetched.
@@ -35,13 +42,14 @@ texts. Only the texts of proposed pairs are fetched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -51,7 +59,11 @@ BLOCKS = 4
 CROWDED = 64
 #: One text of SAMPLED is looked at for common shingles; those in COMMON_FROM of these
 #: texts or more are common, at most MOST_COMMON of them.
-SAMPLED, COMMON_FROM, MOST_COMMON = 64, 3, 500_000
+SAMPLED, COMMON_FROM, MOST_COMMON = 16, 3, 500_000
+#: Sets of fewer shingles have too few parts; their common shingles stay keys.
+SMALL = 32
+#: Longs of parity bits that a text's set is summed up in.
+PARITIES = 8
 
 
 def fingerprints(texts: pd.Series, words: int) -> np.ndarray:
@@ -194,9 +206,23 @@ class Shingles:
                 out[self.of[begins], n] = np.add.reduceat(mix(self.distinct + np.uint64((n + 1) * BASE % (1 << 64))), begins)
         return [row.tobytes()[:12] for row in out]
 
-    def prefixes(self, common_ones: tuple[np.ndarray, np.ndarray], least: Fraction) -> list[np.ndarray]:
-        """Each text's first shingles in the order of (texts of the sample, hash): so many
-        that two sets with a Jaccard similarity of ``least`` or more share one of them."""
+    def parities(self) -> list[np.ndarray]:
+        """PARITIES longs for each text: each bit is the parity of the number of shingles
+        that hash to it, so two texts' sets differ in as many shingles as bits or more."""
+        odd = np.zeros((self.texts, PARITIES * 64), dtype=bool)
+        bit = mix(self.distinct + np.uint64(7 * BASE % (1 << 64))) % np.uint64(PARITIES * 64)
+        at, n = np.unique(self.of * (PARITIES * 64) + bit.astype(np.int64), return_counts=True)
+        odd.reshape(-1)[at[n % 2 == 1]] = True
+        return list(np.packbits(odd, axis=1, bitorder="little").view("<i8"))
+
+    def keys(self, common_ones: tuple[np.ndarray, np.ndarray], least: Fraction, plan: list[tuple[int, int, int]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Keys of each text such that two sets with a Jaccard similarity of ``least`` or
+        more share one, and how many shingles come behind those that are keys themselves.
+
+        A text's prefix is its first shingles in the order of (texts of the sample, hash).
+        Prefix shingles are keys if they are not common or if the text is small (of the
+        plan's first class that has parts, or below); texts with common ones in the prefix
+        have parts as keys too. See ``parts_plan``."""
         known, held = common_ones
         rank = np.zeros(len(self.of), dtype=np.int64)
         if len(known):
@@ -205,7 +231,80 @@ class Shingles:
         order = np.lexsort((rank, self.of))
         n = np.diff(self.starts)
         size = np.where(n > 0, n + (-n * least.numerator) // least.denominator + 1, 0)
-        return [self.distinct[order[a : a + k]] for a, k in zip(self.starts.tolist(), size.tolist(), strict=False)]
+        nth = np.arange(len(self.of)) - self.starts[self.of]  # rows of a text stay together in ``order``
+        first = nth < size[self.of]
+        hot = first & (rank[order] > 0)
+        small = n < plan[1][0] if len(plan) > 1 else np.ones(len(n), dtype=bool)
+        own = first & ~(hot & ~small[self.of])
+        behind = n - np.bincount(self.of[own], minlength=self.texts)
+        text, key = [self.of[own]], [self.distinct[order[own]]]
+        crowded = np.zeros(self.texts, dtype=bool)
+        crowded[self.of[hot]] = True
+        if plan:
+            starts = np.array([p[0] for p in plan])
+            of_class = np.searchsorted(starts, n, side="right") - 1
+            for instance in (of_class, of_class - 1):
+                mine = np.flatnonzero(crowded & (instance >= 0))
+                if len(mine):
+                    found = self._parts(mine, instance[mine], plan)
+                    text.append(found[0])
+                    key.append(found[1])
+        text, key = np.concatenate(text), np.concatenate(key)
+        at = np.argsort(text, kind="stable")
+        ends = np.searchsorted(text[at], np.arange(self.texts + 1))
+        return [key[at[a:b]] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], behind
+
+    def _parts(self, mine: np.ndarray, classes: np.ndarray, plan: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, key): the parts of the texts ``mine`` as sets of ``classes``."""
+        count, spare = (np.array([p[i] for p in plan])[classes] for i in (1, 2))
+        base = np.cumsum(count) - count
+        row = np.full(self.texts, -1)
+        row[mine] = np.arange(len(mine))
+        here = np.flatnonzero(row[self.of] >= 0)
+        r, h = row[self.of[here]], self.distinct[here]
+        part = (mix(h + np.uint64(3 * BASE % (1 << 64))) % count[r].astype(np.uint64)).astype(np.int64)
+        at = base[r] + part
+        order = np.argsort(at, kind="stable")
+        begins = np.flatnonzero(np.diff(at[order], prepend=-1))
+        sums = np.zeros(int(count.sum()), dtype=np.uint64)
+        sums[at[order[begins]]] = np.add.reduceat(mix(h + np.uint64(5 * BASE % (1 << 64)))[order], begins)
+        full = np.zeros(len(sums), dtype=bool)
+        full[at] = True
+        owner = np.repeat(np.arange(len(mine)), count)
+        empty = count - np.bincount(owner[full], minlength=len(mine))
+        use = full | (empty > spare)[owner]
+        number = np.arange(len(sums)) - base[owner]
+        name = mix((classes[owner] * (1 << 40) + number + 1).astype(np.uint64))
+        return mine[owner[use]], mix(sums + name)[use]
+
+
+def parts_plan(least: Fraction, small: int = SMALL) -> list[tuple[int, int, int]]:
+    """(least size, parts, empty parts that need no key) of each class of sizes from about
+    ``small`` shingles on; none if only equal sets are similar.
+
+    Classes are so wide that of two similar sets the larger is in the smaller one's class or
+    the next. A set is dealt into parts as one of its own class and as one of the class
+    before. As sets of the smaller one's class two similar sets differ in fewer shingles
+    than there are parts, by one more than the empty parts that either may have; a set with
+    more empty parts has keys for those too. So a part with a key is the same in both. How
+    many may be empty is chosen so that hardly a set has more."""
+    if least >= 1:
+        return []
+    num, den = least.numerator, least.denominator
+    plan, first = [], small
+    while first < 1 << 31:
+        last = first * den // num
+        differ = (last + last * den // num) * (den - num) // (den + num)
+        spare = 0
+        while spare < differ:
+            parts = differ + 1 + spare
+            none = math.exp(-first / parts)
+            if spare >= parts * none + 3 * math.sqrt(parts * none * max(0.0, 1 - (1 + first / parts) * none)):
+                break
+            spare += max(1, differ // 64)
+        plan.append((first, differ + 1 + spare, spare))
+        first = last + 1
+    return plan
 
 
 def shingled(texts: pd.Series, words: int) -> Iterator[Shingles]:
@@ -268,19 +367,34 @@ def _hub_pairs(shared: DataFrame, crowded: int) -> DataFrame:
     return met.groupBy(F.col("node").alias("u")).agg(F.max_by("hub", F.struct("count", "hub")).alias("v"))
 
 
-def _candidates(shared: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
-    """(u, v, both, a, b): the pairs of ``shared`` (key, node, n) that share a key, lie in
-    different groups a and b of ``roots`` and can have the similarity ``least``. What two
-    sets share is in both prefixes, which is counted, or behind the end of one prefix."""
+def _candidates(shared: DataFrame, first: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v, both, a, b): the pairs of ``shared`` (key, node, n, behind) that share a key,
+    lie in different groups a and b of ``roots`` and can have the similarity ``least``.
+    What two sets share is a key of both, which is counted, or lies behind the keys of one.
+
+    Under a key each row meets those outside its group. A pair outside one group has a row
+    that is not of the key's largest group, so only such rows meet all others."""
     of, to = least.numerator, least.denominator
-    rows = shared.join(roots, shared.node == roots.node, "left").select("key", shared.node, "n", F.coalesce("root", shared.node).alias("root"))
-    a, b = rows.alias("a"), rows.alias("b")
+    rows = shared.join(roots, shared.node == roots.node, "left").select("key", shared.node, "n", "behind", F.coalesce("root", shared.node).alias("root"))
+    held = rows.groupBy("key", "root").count()
+    main = held.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
+    rows = common.stored(rows.join(main, "key"))
+    a, b = rows.where("root <> main").alias("a"), rows.alias("b")
     sizes = (F.col("a.n") * of <= F.col("b.n") * to) & (F.col("b.n") * of <= F.col("a.n") * to)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes)
-    named = [F.first(f"{side}.root").alias(side) for side in ("a", "b")]
-    both = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("both"), F.max("a.n").alias("n"), F.max("b.n").alias("m"), *named)
-    behind = F.ceil(F.greatest("n", "m") * of / F.lit(to))
-    return both.where((F.col("both") + behind) * (of + to) >= (F.col("n") + F.col("m")) * of).select("u", "v", "both", "a", "b")
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & sizes)
+    swap = F.col("a.node") > F.col("b.node")
+    u, v = (F.struct(*(F.col(f"{side}.{c}") for c in ("node", "root", "n", "behind"))) for side in ("a", "b"))
+    ends = met.select(F.when(swap, v).otherwise(u).alias("x"), F.when(swap, u).otherwise(v).alias("y"))
+    both = ends.groupBy("x", "y").agg(F.count("*").alias("both"))
+    both = both.where((F.col("both") + F.greatest("x.behind", "y.behind")) * (of + to) >= (F.col("x.n") + F.col("y.n")) * of)
+    pairs = both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), "both", F.col("x.root").alias("a"), F.col("y.root").alias("b"), (F.col("x.n") + F.col("y.n")).alias("sizes"))
+    one, other = (first.select(F.col("node").alias(k), F.col("parity").alias(f"parity_{k}")) for k in ("u", "v"))
+    odd = F.aggregate(F.zip_with("parity_u", "parity_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    can = pairs.join(one, "u").join(other, "v").where(odd * (of + to) <= F.col("sizes") * (to - of))
+    out = common.stored(can.select("u", "v", "both", "a", "b"))
+    common.discard(rows)
+    return out
 
 
 def _under(rows: DataFrame, column: str, merged: DataFrame) -> DataFrame:
@@ -330,30 +444,32 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     spark = docs.sparkSession
     common.batch_rows(spark)
     least = Fraction(str(similarity))
+    plan = parts_plan(least)
     order = spark.sparkContext.broadcast(_common_shingles(docs, words, sampled))
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
         parts = []
         for s in shingled(texts, words):
-            prefix = [x.view(np.int64) for x in s.prefixes(order.value, least)]
-            parts.append(pd.DataFrame({"node": s.nodes(), "n": np.diff(s.starts), "fp": s.fingerprints().view(np.int64), "prefix": prefix}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"node": [], "n": [], "fp": [], "prefix": []})
+            keys, behind = s.keys(order.value, least, plan)
+            numbers = {"n": np.diff(s.starts), "behind": behind, "fp": s.fingerprints().view(np.int64), "parity": s.parities()}
+            parts.append(pd.DataFrame({"node": s.nodes(), **numbers, "keys": [x.view(np.int64) for x in keys]}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in ("node", "n", "behind", "fp", "parity", "keys")})
 
     # the numbers go by Arrow, the texts stay where they are
-    found = F.pandas_udf(sketch, "node binary, n int, fp long, prefix array<long>")("text")
+    found = F.pandas_udf(sketch, "node binary, n int, behind int, fp long, parity array<long>, keys array<long>")("text")
     row_of, hash_of = _row_key()
     marked = common.stored(docs.select("doc_id", "text").select(row_of.alias("row"), hash_of.alias("text_hash"), "doc_id", found.alias("s")).select("row", "text_hash", "doc_id", "s.*"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
-    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first"), F.first("fp").alias("fp")).select("node", "fp", "first.row", "first.text_hash", "first.doc_id"))
-    rows = marked.select("node", "n", "prefix").dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("key"))
-    key = Window.partitionBy("key")
-    shared = common.stored(rows.select("*", F.count("*").over(key).alias("held"), F.min("node").over(key).alias("hub")).where("held > 1"))
+    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first"), F.first("fp").alias("fp"), F.first("parity").alias("parity")).select("node", "fp", "parity", "first.row", "first.text_hash", "first.doc_id"))
+    rows = marked.select("node", "n", "behind", "keys").dropDuplicates(["node"]).select("node", "n", "behind", F.explode("keys").alias("key"))
+    rows = common.stored(rows.join(rows.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("hub")).where("held > 1"), "key"))
+    shared = rows
     common.discard(marked)
 
     proposed = common.stored(_block_pairs(first.select("node", "fp")).unionByName(_hub_pairs(shared, crowded)).distinct())
     close = common.stored(_alike(proposed, _texts(docs, first, proposed), words, least))
     roots = common.stored(common.components(close))
-    rest = common.stored(_candidates(shared.select("key", "node", "n"), roots, least))
+    rest = _candidates(shared.select("key", "node", "n", "behind"), first.select("node", "parity"), roots, least)
     roots = _linked(rest, _texts(docs, first, rest), roots, words, least)
     group = F.coalesce("root", first.node)
     rooted = first.join(roots, first.node == roots.node, "left").select(group.alias("root"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row").alias("first"))

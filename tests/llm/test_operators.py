@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -447,6 +448,42 @@ def test_groups_of_texts_that_share_passages(spark, how):
     assert len(kept) == len(set(kept)) and set(kept) == brute_groups(rows)
 
 
+def test_parts_meet_all_similar_sets():
+    """Of two sets at 0.8 or more, all common, one key at least is in both."""
+    rng, least = np.random.default_rng(3), Fraction("0.8")
+    plan = simhash.parts_plan(least)
+    for n in [31, 32, 33, 40, 41, 50, 64, 65, 200, 1500] * 6:
+        pool = rng.permutation(1 << 20)[: 2 * n].astype(np.uint64)
+        for taken, more in ((n // 9, n // 9), (0, n // 4), (n // 5, 0)):
+            pair = [np.sort(pool[:n]), np.sort(np.concatenate((pool[: n - taken], pool[n : n + more])))]
+            if len(np.intersect1d(*pair)) < least * len(np.union1d(*pair)):
+                continue
+            s = simhash.Shingles([b"", b""], 5)
+            s.of, s.distinct = np.repeat([0, 1], [len(x) for x in pair]), np.concatenate(pair)
+            s.starts = np.array([0, len(pair[0]), len(s.of)])
+            everything = np.arange(1 << 20, dtype=np.uint64), np.full(1 << 20, 5)
+            (one, other), behind = s.keys(everything, least, plan)
+            assert len(np.intersect1d(one, other)) and behind.tolist() >= [0, 0]
+            a, b = s.parities()
+            assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= len(np.setxor1d(*pair))
+
+
+def test_unlike_texts_of_shared_passages_hardly_meet(spark):
+    """Twice the texts of the same passages do not propose four times the pairs in
+    earnest: fewer pairs than texts are left to compare, and all texts stay."""
+    rng = random.Random(33)
+    passages = [words(rng, 50, 10**6) for _ in range(150)]
+    for size in (400, 800):
+        rows = [(n, " ".join(rng.sample(passages, 6)), "en", "s", 0) for n in range(size)]
+        compared, plain = [], simhash._linked
+        simhash._linked = lambda rest, *more: (compared.append(rest.count()), plain(rest, *more))[1]
+        try:
+            assert simhash.one_of_each_group(frame(spark, rows), sampled=1).count() == size
+        finally:
+            simhash._linked = plain
+        assert compared[0] <= size // 20
+
+
 # --- 8 lines ----------------------------------------------------------------
 
 
