@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import repair
+
 
 def leaves(value: object, path: str = "") -> Iterator[tuple[str, str, object]]:
     """(path, key, value) of every leaf, in document order."""
@@ -107,44 +109,12 @@ def flattened(value: object) -> dict[str, str]:
     return short | full
 
 
-FENCE = re.compile(r"^\s*```(?:json)?\s*|\s*```\s*$")
-
-
-def _closed(text: str) -> str:
-    """Trailing commas dropped, open strings and brackets closed."""
-    out, stack, quoted, escaped = [], [], False, False
-    for c in text:
-        if quoted:
-            escaped = c == "\\" and not escaped
-            quoted = not (c == '"' and not escaped) if c == '"' else True
-            if c == '"' and out and out[-1] == "\\":
-                quoted = True
-        elif c == '"':
-            quoted, escaped = True, False
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]":
-            while stack and stack[-1] != c:
-                out.append(stack.pop())
-            if not stack:
-                continue
-            stack.pop()
-        out.append(c)
-    text = "".join(out) + ('"' if quoted else "") + "".join(reversed(stack))
-    return re.sub(r",(\s*[}\]])", r"\1", text)
-
-
 def repaired(text: str) -> str | None:
-    """JSON out of nearly-JSON: fences off, then as it is, closed, or with missing
-    commas put in; null if none of these parses."""
-    text = FENCE.sub("", text)
-    commas = lambda t: re.sub(r'("|\d|\}|\]|true|false|null)(\s*\n\s*)"', r'\1,\2"', t)
-    for attempt in (lambda t: t, _closed, lambda t: _closed(commas(t))):
-        try:
-            return json.dumps(json.loads(attempt(text)), ensure_ascii=False)
-        except ValueError:
-            continue
-    return None
+    """JSON out of nearly-JSON, null if no way of ``repair`` reads it."""
+    try:
+        return json.dumps(repair.read(text)[0], ensure_ascii=False)
+    except ValueError:
+        return None
 
 
 def _per_row(text: Column, f: Callable[[object], object], kind: str = "string") -> Column:

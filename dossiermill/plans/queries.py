@@ -183,4 +183,4 @@ def validator_structural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.withColumn("what", what).groupBy("what").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("n_docs"))
 
 
-from . import attribution_queries, generation_queries, input_queries, product_queries, quality_queries, render_queries, report_queries, section_queries, source_queries, structure_queries, text_queries  # noqa: E402, F401  (they register their queries here)
+from . import attribution_queries, generation_queries, input_queries, product_queries, quality_queries, render_queries, report_queries, response_queries, section_queries, source_queries, structure_queries, text_queries  # noqa: E402, F401  (they register their queries here)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import page_text
-from .schema import SECTIONS, record_type
+from .schema import LISTS, SECTIONS, record_type
 
 # Extensions by format.
 FORMATS = {"pdf": ["pdf"], "docx": ["docx"], "xlsx": ["xlsx", "xls"], "html": ["html", "htm"], "txt": ["txt"]}
@@ -82,18 +82,25 @@ def extracted_text(kind: Column, content: Column) -> Column:
 
 
 def records(texts: DataFrame, json: str = "json") -> DataFrame:
-    """``texts`` with a column for each section, read leniently: a section of the
-    wrong shape is null and named in ``skipped``; text that is no JSON object has
-    all sections null and ``malformed`` true."""
+    """``texts`` with a column for each section, read leniently: of a list in place of a
+    section its first object counts, an object in place of a list of a section's is a list
+    of one; a section of another wrong shape is null and named in ``skipped``; text that is
+    no JSON object has all sections null and ``malformed`` true."""
     variant = F.try_parse_json(json)
     raw = F.from_json(json, ", ".join(f"`{s}` string" for s in SECTIONS))
     out = texts.withColumns({"_raw": raw, "malformed": variant.isNull()})
     sections = {}
     for field in record_type():
         text = F.col(f"_raw.`{field.name}`")
+        begins = lambda c, sign: F.startswith(F.ltrim(c), F.lit(sign))
+        if field.name in LISTS:
+            text = F.when(begins(text, "{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+        else:
+            head = F.get_json_object(text, "$[0]")
+            text = F.when(begins(text, "[") & begins(head, "{"), head).otherwise(text)
         kind = field.dataType.typeName()
         opens = {"struct": "{", "array": "["}.get(kind)
-        sections[field.name] = F.when(F.startswith(F.ltrim(text), F.lit(opens)), F.from_json(text, field.dataType)) if opens else text
+        sections[field.name] = F.when(begins(text, opens), F.from_json(text, field.dataType)) if opens else text
     out = out.withColumns(sections)
     skipped = F.array_compact(F.array(*(F.when(F.col(f"_raw.`{s}`").isNotNull() & F.col(f"`{s}`").isNull(), F.lit(s)) for s in SECTIONS)))
     return out.withColumn("skipped", skipped).drop("_raw")

@@ -14,6 +14,8 @@ SECTIONS = [
     "TransportInformation", "RegulatoryInformation", "OtherInformation",
 ]
 NUMBERED = SECTIONS[1:]
+#: Sections that are lists.
+LISTS = ("ToxicologicalInformation", "EcologicalInformation")
 
 _VALUE = "struct<ValueSymbol:string,Value:double>"
 QUANTITY = f"struct<ExactValue:{_VALUE},LowerValue:{_VALUE},UpperValue:{_VALUE},Unit:string,AdditionalInfo:struct<ItemName:string,FullText:array<string>>>"
