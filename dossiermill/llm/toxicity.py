@@ -45,7 +45,8 @@ MIN_LOG_ODDS = 2.5
 #: surprise. A word needs several features for a positive sum.
 FIRST_WEIGHT, SURE_SURPRISE, FIRST_BIAS = 3.0, 20.0, -8.0
 SEQUENCE_WORDS = 64
-SEQUENCES = 4
+#: Sequences of the documents that the field is fitted on, a bound of the sample.
+MOST_SEQUENCES = 40_000
 BITMAP = 1 << 20
 
 
@@ -201,13 +202,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
 
 def _fit_chain(field: Field, sample: DataFrame) -> None:
     """Weights by gradient ascent on the documents' labels over their sequences: the
-    surroundings of a document's words with features, SEQUENCES of them at most."""
+    surroundings of a document's words with features, all of them. Documents are taken
+    whole, in the order of their texts' hashes, up to MOST_SEQUENCES in all."""
     shared = sample.sparkSession.sparkContext.broadcast(field)
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for r in rows:
-            toxic, out = r["toxic"].to_pylist(), []
+            keys, toxic, out = r["key"].to_pylist(), r["toxic"].to_pylist(), []
             for first, w in tokenized(r["text"].to_pylist()):
                 words, ids = field.found(w)
                 order = np.argsort(words, kind="stable")
@@ -215,19 +217,24 @@ def _fit_chain(field: Field, sample: DataFrame) -> None:
                 at = np.unique(words)
                 spans, ends = {}, {}
                 for n, t in zip(at.tolist(), w.text[at].tolist(), strict=True):
-                    if n >= ends.get(t, -1) and len(spans.get(t, ())) < SEQUENCES:
+                    if n >= ends.get(t, -1):
                         lo = max(int(w.first[t]), ends.get(t, 0), n - SEQUENCE_WORDS // 4)
                         ends[t] = min(int(w.first[t + 1]), lo + SEQUENCE_WORDS)
                         spans.setdefault(t, []).append((lo, ends[t]))
                 for t, own in spans.items():
                     cells = [(hi - lo, words[a:b] - lo, ids[a:b]) for lo, hi in own for a, b in [np.searchsorted(words, [lo, hi])]]
-                    out.append((toxic[first + t], [n for n, _, _ in cells], [x.tolist() for _, x, _ in cells], [x.tolist() for _, _, x in cells]))
+                    out.append((keys[first + t], toxic[first + t], [n for n, _, _ in cells], [x.tolist() for _, x, _ in cells], [x.tolist() for _, _, x in cells]))
             numbers = pa.list_(pa.int32())
-            kinds = [pa.int32(), numbers, pa.list_(numbers), pa.list_(numbers)]
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "n", "word", "feature"])
-
-    found = sample.mapInArrow(cut, "toxic int, n array<int>, word array<array<int>>, feature array<array<int>>").collect()
+            kinds = [pa.int64(), pa.int32(), numbers, pa.list_(numbers), pa.list_(numbers)]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "toxic", "n", "word", "feature"])
+
+    keyed = sample.select(F.xxhash64("text").alias("key"), "text", "toxic")
+    written = common.stored(keyed.mapInArrow(cut, "key long, toxic int, n array<int>, word array<array<int>>, feature array<array<int>>"))
+    sizes = written.groupBy("key").agg(F.sum(F.size("n")).alias("n")).orderBy("key").toPandas()
+    chosen = sizes["key"][sizes["n"].cumsum() <= MOST_SEQUENCES]
+    found = written.where(F.col("key") <= int(chosen.iloc[-1])).orderBy("key", "toxic").collect() if len(chosen) else []
+    common.discard(written)
     if not found:
         return
     toxic = np.array([d["toxic"] for d in found]) == 1
