@@ -200,5 +200,8 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document. Null, empty and wordless texts have
+    size and taken 0; a null source is one of its own, last in order; rows that repeat each
+    have their own share; an empty table gives no rows."""
     mix = Mix(common.table(spark, sf_dir, "documents"))
     return mix.taken().join(mix.sources.select("source_no", "source_size", "target"), "source_no").select("doc_id", "size", "source_size", "target", "taken")

@@ -753,3 +753,15 @@ def test_pipeline(spark, tmp_path):
     assert left <= set(range(40)) - {5} and len(left) >= 35
     assert {r.shard for r in got} <= set(range(corpus_pipeline.SHARDS))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "decontamination", "mixing", "sharding"]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    """With columns that clash with the stages' own names; nothing is in, nothing comes out."""
+    import corpus_pipeline
+
+    extra = ["_hash", "_row", "_pred", "root", "node", "key", "start", "n", "slot"]
+    empty = frame(spark, []).withColumns({c: F.lit(1) for c in extra})
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and {"shard", "slot", *extra} <= set(got.columns)
