@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents that go on, with
 the columns of ``documents``; the last one adds their shard and slot.
+
+Null, empty and letterless texts go in the first stage. Rows that repeat in doc_id and
+text are one row from the second stage on; other columns of ``documents`` stay as they
+are, whatever their names, but for size, shard and slot, which the last stage replaces. An
+empty table stays empty through all stages.
 """
 
 from __future__ import annotations
