@@ -130,10 +130,12 @@ def retention_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean share of an item's windows of ten characters, every five, that a document
     has. Whole texts meet by window, so no item is paired with documents that share none."""
     items, docs = (derived.table(spark, sf_dir, t) for t in ("benchmark", "documents"))
-    cut = lambda step: F.transform(F.sequence(F.lit(1), F.char_length("text") - 9, F.lit(step)), lambda i: F.substr("text", i, F.lit(10)))
+    # one pass over the text, a character at a time; substr would count from its start for each window
+    every = F.regexp_extract_all("text", F.lit("(?s)(?=(.{10}))."), F.lit(1))
+    fifth = F.filter(every, lambda _, i: i % 5 == 0)
     long = F.char_length("text") >= 10
-    windows = items.where(long).select("item_id", F.size(cut(5)).alias("of"), F.explode(cut(5)).alias("window"))
-    held = docs.where(long).select(F.explode(F.array_distinct(cut(1))).alias("window")).join(windows.select("window").distinct(), "window").groupBy("window").count()
+    windows = items.where(long).select("item_id", F.size(fifth).alias("of"), F.explode(fifth).alias("window"))
+    held = docs.where(long).select(F.explode(F.array_distinct(every)).alias("window")).join(windows.select("window").distinct(), "window").groupBy("window").count()
     total = docs.agg(F.count("*").alias("n"), F.count("text").alias("n_texts"))
     share = windows.join(held, "window", "left").groupBy("item_id").agg((F.sum(F.coalesce("count", F.lit(0))) / F.max("of")).alias("found"))
     return share.join(F.broadcast(total)).select("item_id", "n", F.round(F.col("found") / F.col("n_texts"), 6).alias("retention"))

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from dossiermill.operators import sections
 
 DATA = "/root/testdata/sf0.001"
 
@@ -9,3 +11,19 @@ DATA = "/root/testdata/sf0.001"
 def test_a_record_is_read_once_and_not_again_in_a_filter(spark, name):
     plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") < 100
+
+
+def test_windows_are_cut_in_one_pass(spark, tmp_path):
+    text = "A\U0001f9ea" + "0123456789" * 3 + "?end"
+    spark.createDataFrame([(1, text), (2, "x" * 30), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text[:20]), (2, "?" + text[2:11])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = __spark_entry__.queries()["retention_windows"](spark, str(tmp_path))
+    assert {r.item_id: (r.n, r.retention) for r in found.collect()} == {1: (3, 0.5), 2: (3, 0.0)}
+    # substr counts from the start of a text for each window
+    assert "substr" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("pattern", "text"), [("remov.*cloth|衣類.*脱", "REMOVE the CLOTHes"), ("fire|ice", "FİRE"), ("kelvin", "Kelvin"), (r"\bUN\s?\d{4}\b|x\|y", "un1234"), ("a.*b|c", "b a"), ("(p|q)r|[|]z", "|Z"), ("wash|skin", "waſh"), ("wash", None)])
+def test_words_are_found_as_by_the_pattern(spark, pattern, text):
+    row = spark.createDataFrame([(text,)], "t string").select(sections._has(F.col("t"), pattern).alias("a"), F.col("t").rlike("(?iU)" + pattern).alias("b")).first()
+    assert row.a == row.b
