@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
@@ -150,29 +151,43 @@ def boosted(rows: DataFrame, features: list[str], target: str, seed: int = 42) -
 
 
 def of_trees(x: np.ndarray, background: np.ndarray, walks: list[tuple[int, ...]], trees: Trees) -> np.ndarray:
-    """(rows, features) values of a sum of trees. A tree sees the order of its own features
-    only, and its mean over the background depends on which of them have joined; each such
-    set is looked up once."""
+    """(rows, features) values of a sum of trees. Rows that take the same sides at all nodes
+    of a tree have the same values of it, so they are worked out once for each such choice."""
     out = np.zeros(x.shape)
-    for n in range(len(trees.nodes)):
+    for n, (feature, threshold, *_) in enumerate(trees.nodes):
+        inner = feature >= 0
+        if not inner.any():
+            continue
+        sides = np.packbits(x[:, feature[inner]] <= threshold[inner], axis=1)
+        sides = sides[:, 0] if sides.shape[1] == 1 else np.ascontiguousarray(sides).view(f"V{sides.shape[1]}")[:, 0]
+        _, first, which = np.unique(sides, return_index=True, return_inverse=True)
         used = trees.used(n)
-        means: dict[frozenset[int], np.ndarray] = {}
-
-        def mean(joined: frozenset[int], n=n, used=used, means=means) -> np.ndarray:
-            if joined not in means:
-                mixed = np.tile(background[:, used], (len(x), 1))
-                for k, f in enumerate(used):
-                    if f in joined:
-                        mixed[:, k] = np.repeat(x[:, f], len(background))
-                means[joined] = trees.value(n, mixed, used).reshape(len(x), -1).mean(1)
-            return means[joined]
-
-        for walk, times in Counter(tuple(f for f in walk if f in used) for walk in walks).items():
-            for k, f in enumerate(walk):
-                out[:, f] += times * (mean(frozenset(walk[: k + 1])) - mean(frozenset(walk[:k])))
+        out[:, used] += _of_tree(x[first], background, walks, trees, n)[which][:, used]
     return out / len(walks)
 
 
+def _of_tree(x: np.ndarray, background: np.ndarray, walks: list[tuple[int, ...]], trees: Trees, n: int) -> np.ndarray:
+    """The sums over all orders of one tree's values. It sees the order of its own features
+    only, and its mean over the background depends on which of them have joined; each such
+    set is looked up once."""
+    out, used = np.zeros(x.shape), trees.used(n)
+    means: dict[frozenset[int], np.ndarray] = {}
+
+    def mean(joined: frozenset[int]) -> np.ndarray:
+        if joined not in means:
+            mixed = np.tile(background[:, used], (len(x), 1))
+            for k, f in enumerate(used):
+                if f in joined:
+                    mixed[:, k] = np.repeat(x[:, f], len(background))
+            means[joined] = trees.value(n, mixed, used).reshape(len(x), -1).mean(1)
+        return means[joined]
+
+    for walk, times in Counter(tuple(f for f in walk if f in used) for walk in walks).items():
+        for k, f in enumerate(walk):
+            out[:, f] += times * (mean(frozenset(walk[: k + 1])) - mean(frozenset(walk[:k])))
+    return out
+
+
 def of_function(x: np.ndarray, background: np.ndarray, walks: list[tuple[int, ...]], predict: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The same for any function of rows, which is asked at every step."""
     n, d = x.shape
@@ -208,15 +223,19 @@ def attributed(rows: DataFrame, key: str, features: list[str], model: Trees | Ca
                 part = df.iloc[lo : lo + step]
                 x = part[features].to_numpy(dtype=float)
                 found = of_trees(x, background, walks, model) if isinstance(model, Trees) else of_function(x, background, walks, model)
-                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(features)), "feature": np.tile(np.array(features, dtype=object), len(part)), "value": found.ravel()})
+                yield pd.DataFrame({key: part[key].to_numpy(), **{f"_{n}": found[:, n] for n in range(len(features))}})
 
     filled = rows.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
-    return filled.mapInPandas(run, f"`{key}` {kind}, feature string, value double")
+    wide = filled.mapInPandas(run, f"`{key}` {kind}" + "".join(f", _{n} double" for n in range(len(features))))
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_{n}").alias("value")) for n, f in enumerate(features)))
+    return wide.select(key, F.explode(each).alias("_of")).select(key, "_of.feature", "_of.value")
 
 
 def explained(rows: DataFrame, key: str, features: list[str], target: str, edges: Edges = EDGES, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """(seed, key, feature, value): ``target`` is fitted by boosted trees, once a seed, and
     attributed to ``features``, which should hold neither the target nor its effects."""
+    # read by every fit and attribution
+    rows = rows.select(key, *features, target).persist(StorageLevel.MEMORY_AND_DISK)
     background = background_of(rows, key, features)
     out = None
     for seed in seeds:

@@ -102,3 +102,14 @@ def test_many_features_and_no_rows(spark):
     assert got.groupby("id").value.sum().sort_index().to_numpy() == pytest.approx(want)
     assert attribution.attributed(df.where("id < 0"), "id", names, predict, background, most=5).count() == 0
     assert math.isfinite(got.value.abs().max())
+
+
+def test_rows_on_the_same_sides_are_worked_out_once(monkeypatch):
+    leaf = (-1, 0.0, 0, 0)
+    nodes = [(0, 0.0, 1, 2, 0.0), (*leaf, 1.0), (*leaf, 3.0)]
+    trees = attribution.Trees([tuple(np.array(c) for c in zip(*nodes, strict=True))])
+    sizes, value = [], attribution.Trees.value
+    monkeypatch.setattr(attribution.Trees, "value", lambda self, n, x, columns=None: (sizes.append(len(x)), value(self, n, x, columns))[1])
+    x = np.linspace(-1, 1, 1_000).reshape(-1, 1)
+    got = attribution.of_trees(x, np.array([[-1.0], [1.0]]), [(0,)], trees)
+    assert max(sizes) <= 4 and np.allclose(got[:, 0], np.where(x[:, 0] <= 0, -1.0, 1.0))
