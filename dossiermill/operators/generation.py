@@ -5,11 +5,14 @@ product; components: (product, pos, name, cas, exact, lower, upper, unit), one r
 in the order of pos; identities: (cas, outcome, iupac_name, formula, cid, mismatch,
 source_smiles, fallback), one row a looked-up number, outcome ``resolved`` or another.
 
-A list of a product is numbered over cells of its rows, so a product that holds most rows
-of the input is in no one task."""
+A list of a product is numbered in one shuffle by product. Products of more than CELL
+components are few (one of CELL rows at most) and go apart: their lists are numbered over
+cells of their rows, so a product that holds most rows of the input is in no one task."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,35 +44,62 @@ FULL_SMILES, FALLBACK_SMILES = "PubChem CAS lookup (SMILES)", "PubChem CAS looku
 FALLBACK_WARNING = "connectivity-only SMILES used as fallback -- stereochemistry/isotope information may not be represented"
 COMPOUND = "PubChem CID "
 
-#: Positions that are numbered together.
+#: Positions that are numbered together, and components of a product that goes without cells.
 CELL = 1_024
 
 ENTRY = "struct<path:string,source_type:string,source_reference:string,method:string,confidence:string,warning:string>"
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], name: str, cell: Column | None = None) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: list[str], name: str, cell: Column | None = None, size: str | None = None) -> DataFrame:
     """``rows`` with ``name``: their number from 0 among the rows of their group in the
-    given order, without gaps. ``cell`` cuts a group into runs of that order (by default of
-    CELL values of its first column): rows are numbered within a run, and the runs' sizes
-    give each its start. Rows that are equal in all of ``order`` may change places."""
-    run = (F.floor(F.col(order[0]) / CELL) if cell is None else cell).alias("_cell")
-    rows = rows.select("*", run)
+    given order, without gaps; with ``size``, a row counts for so many. ``cell`` cuts a
+    group into runs of that order: rows are numbered within a run, and the runs' sizes give
+    each its start. Without one a group is in one task. Rows that are equal in all of
+    ``order`` may change places."""
+
+    def own(*keys: str) -> Column:
+        within = Window.partitionBy(*keys).orderBy(*order)
+        return F.row_number().over(within) - 1 if size is None else F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if cell is None:
+        return rows.withColumn(name, own(group).cast("int"))
+    rows = rows.select("*", cell.alias("_cell"))
     before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(group, "_cell").agg(F.count("*").alias("_n")).select(group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(group, "_cell").orderBy(*order)
-    return rows.withColumn("_own", F.row_number().over(within) - 1).join(starts, [group, "_cell"]).withColumn(name, (F.col("_start") + F.col("_own")).cast("int")).drop("_cell", "_own", "_start")
+    counts = rows.groupBy(group, "_cell").agg((F.count("*") if size is None else F.sum(size)).alias("_n"))
+    starts = counts.select(group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.withColumn("_own", own(group, "_cell")).join(starts, [group, "_cell"]).withColumn(name, (F.col("_start") + F.col("_own")).cast("int")).drop("_cell", "_own", "_start")
 
 
-def indexed(components: DataFrame, identities: DataFrame) -> DataFrame:
-    """``components`` with their ``index`` in the product and what their number's lookup
-    returned; a number that very many components have is a skewed side of a plain join."""
-    rows = numbered(components, "product", ["pos", "cas", "name", "exact", "lower", "upper", "unit"], "index")
+def _cells(place: str, *first: str) -> Column:
+    return F.struct(*first, F.floor(F.col(place) / CELL).alias("cell"))
+
+
+def _apart(components: DataFrame, of: Callable[..., DataFrame], *tables: DataFrame) -> DataFrame:
+    """``of(components, *tables, cells)`` of the products with few components, without cells,
+    and of those with more than CELL, with them. Every table has a column ``product``."""
+    large = F.broadcast(components.groupBy("product").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL).select("product"))
+    few, many = ([t.join(large, "product", how) for t in (components, *tables)] for how in ("left_anti", "left_semi"))
+    return of(*few, False).unionByName(of(*many, True))
+
+
+KEYS = ["pos", "cas", "name", "exact", "lower", "upper", "unit"]
+
+
+def _looked_up(components: DataFrame, identities: DataFrame) -> DataFrame:
+    """``components`` with what their number's lookup returned; a number that very many
+    components have is a skewed side of a plain join."""
     known = identities.select(F.col("cas").alias("_cas"), *(c for c in identities.columns if c != "cas"))
-    return rows.join(known, F.col("cas") == F.col("_cas"), "left").drop("_cas").withColumn("resolved", F.coalesce(F.col("outcome") == "resolved", F.lit(False)))
+    return components.join(known, F.col("cas") == F.col("_cas"), "left").drop("_cas").withColumn("resolved", F.coalesce(F.col("outcome") == "resolved", F.lit(False)))
+
+
+def _indexed(components: DataFrame, identities: DataFrame, cells: bool) -> DataFrame:
+    return numbered(_looked_up(components, identities), "product", KEYS, "index", _cells("pos") if cells else None)
 
 
-def _value(of: str) -> Column:
-    return F.when(F.col(of).isNotNull(), F.struct(F.col(of).alias("Value")))
+def indexed(components: DataFrame, identities: DataFrame) -> DataFrame:
+    """``components`` with their ``index`` in the product and what their number's lookup
+    returned."""
+    return _apart(components, lambda rows, cells: _indexed(rows, identities, cells))
 
 
 def drafts(products: DataFrame, components: DataFrame, identities: DataFrame) -> DataFrame:
@@ -81,19 +111,24 @@ def drafts(products: DataFrame, components: DataFrame, identities: DataFrame) ->
         F.struct(F.col("trade_name").alias("TradeNameJP"), filled("other_names").alias("OtherName")).alias("TradeProductIdentity"),
         F.struct(F.col("company_name").alias("CompanyName"), F.col("address").alias("Address"), F.col("phone").alias("Phone"), F.col("email").alias("Email")).alias("SupplierInformation"),
     )
-    if_known = lambda c: F.when(F.col("resolved"), c)
-    identity = F.when(F.col("cas").isNotNull(), F.struct(F.struct(F.array("cas").alias("FullText")).alias("CASno")))
-    names = F.struct(if_known(F.col("iupac_name")).alias("IupacName"), F.col("name").alias("GenericName"))
-    substance = F.when(F.col("name").isNotNull() | F.col("cas").isNotNull(), F.struct(names.alias("SubstanceNames"), identity.alias("SubstanceIdentity")))
-    unit = F.when(F.trim("unit") != "", F.col("unit"))
-    quantity = F.struct(_value("exact").alias("ExactValue"), _value("lower").alias("LowerValue"), _value("upper").alias("UpperValue"), unit.alias("Unit"))
-    row = F.struct(
-        substance.alias("SubstanceIdentifiers"), if_known(F.when(~F.coalesce("mismatch", F.lit(False)), F.col("formula"))).alias("MolecularFormula"),
-        F.struct(quantity.alias("NumericRangeWithUnitAndQualifier")).alias("Concentration"),
-    )
-    # a product's components are one record in the end
-    parts = indexed(components, identities).groupBy("product").agg(F.array_sort(F.collect_list(F.struct("index", row.alias("row")))).alias("_rows"))
-    composition = F.when(F.size("_rows") > 0, F.struct(F.transform("_rows", lambda x: x["row"]).alias("CompositionAndConcentration")))
+    if_known = lambda x, c: F.when(x["resolved"], c)
+    some = lambda c: F.when(c.isNotNull(), F.struct(c.alias("Value")))
+
+    def row(x: Column) -> Column:
+        identity = F.when(x["cas"].isNotNull(), F.struct(F.struct(F.array(x["cas"]).alias("FullText")).alias("CASno")))
+        names = F.struct(if_known(x, x["iupac_name"]).alias("IupacName"), x["name"].alias("GenericName"))
+        substance = F.when(x["name"].isNotNull() | x["cas"].isNotNull(), F.struct(names.alias("SubstanceNames"), identity.alias("SubstanceIdentity")))
+        unit = F.when(F.trim(x["unit"]) != "", x["unit"])
+        quantity = F.struct(some(x["exact"]).alias("ExactValue"), some(x["lower"]).alias("LowerValue"), some(x["upper"]).alias("UpperValue"), unit.alias("Unit"))
+        return F.struct(
+            substance.alias("SubstanceIdentifiers"), if_known(x, F.when(~F.coalesce(x["mismatch"], F.lit(False)), x["formula"])).alias("MolecularFormula"),
+            F.struct(quantity.alias("NumericRangeWithUnitAndQualifier")).alias("Concentration"),
+        )
+
+    # a product's components are one record in the end, so they are put in order there
+    listed = F.array_sort(F.collect_list(F.struct(*KEYS, "resolved", "iupac_name", "mismatch", "formula")))
+    parts = _looked_up(components, identities).groupBy("product").agg(listed.alias("_rows"))
+    composition = F.when(F.size("_rows") > 0, F.struct(F.transform("_rows", row).alias("CompositionAndConcentration")))
     return products.join(parts, "product", "left").select("product", identification.alias("Identification"), composition.alias("Composition"))
 
 
@@ -113,28 +148,43 @@ def provenance(products: DataFrame, components: DataFrame, identities: DataFrame
     components, each with its supplied and its looked-up fields, then the measured
     ``properties`` (``resolution.resolved``) in policy order, then the structures that
     lookups returned. Ordinals start at 0 and have no gaps."""
+    return _apart(components, lambda rows, own, known, cells: _provenance(own, rows, identities, known, cells), products, properties)
+
+
+def _bits(*when: Column) -> Column:
+    return sum((F.when(w, 1 << n).otherwise(0) for n, w in enumerate(when)), F.lit(0))
+
+
+def _provenance(products: DataFrame, components: DataFrame, identities: DataFrame, properties: DataFrame, cells: bool) -> DataFrame:
     given = {c: F.col(c).isNotNull() for c in PRODUCT_FIELDS} | {"trade_name": F.lit(True), "company_name": F.lit(True), "other_names": F.coalesce(F.size("other_names") > 0, F.lit(False))}
-    own = [F.when(given[c], _supplied(path, FROM_PRODUCT)) for c, path in PRODUCT_FIELDS.items()]
-    at = lambda field: F.concat(F.lit(f"{ROWS}["), F.col("index").cast("string"), F.lit(f"].{field}"))
-    compound = F.concat(F.lit(COMPOUND), F.col("cid").cast("string"))
+    # lists are numbered by what they have, before their entries are written out
+    none = {"cid": F.lit(None).cast("string"), "fallback": F.lit(False), "property": F.lit(None).cast("string"), "level": F.lit(None).cast("string")}
+    listed = lambda rows, part, place, has, **own: rows.select("product", part.cast("int").alias("part"), place.cast("long").alias("place"), has.alias("has"), *(c.alias(n) for n, c in (none | own).items())).where("has <> 0")
+    of_component = _bits(F.col("name").isNotNull(), F.col("cas").isNotNull(), F.col("resolved") & F.col("iupac_name").isNotNull(), F.col("resolved") & F.col("formula").isNotNull(), F.lit(True))
+    structure = _bits(F.col("resolved") & F.col("source_smiles").isNotNull())
+    two = F.explode(F.array(*(F.struct(F.lit(part).alias("part"), has.alias("has")) for part, has in ((1, of_component), (3, structure)))))
+    parts = _indexed(components, identities, cells).select("product", "index", "cid", "fallback", two.alias("l"))
+    rows = listed(products, F.lit(0), F.lit(0), _bits(*(given[c] for c in PRODUCT_FIELDS)))
+    rows = rows.unionByName(listed(parts, F.col("l.part"), F.col("index"), F.col("l.has"), cid=F.col("cid").cast("string"), fallback=F.coalesce("fallback", F.lit(False))))
+    rows = rows.unionByName(listed(properties.where("status = 'resolved'"), F.lit(2), _policy_number(), F.lit(1), property=F.col("property"), level=F.col("level")))
+    rows = numbered(rows.withColumn("n", F.bit_count("has")), "product", ["part", "place"], "start", _cells("place", "part") if cells else None, "n")
+    at = lambda field: F.concat(F.lit(f"{ROWS}["), F.col("place").cast("string"), F.lit(f"].{field}"))
+    compound = F.concat(F.lit(COMPOUND), F.col("cid"))
     looked_up = lambda field: _entry(at(field), "reference_database", LOOKED_UP, "medium", compound)
-    of_component = [
-        F.when(F.col("name").isNotNull(), _supplied(at(GENERIC_NAME), FROM_COMPONENT)), F.when(F.col("cas").isNotNull(), _supplied(at(CAS_NO), CHECKED)),
-        F.when(F.col("resolved") & F.col("iupac_name").isNotNull(), looked_up(IUPAC_NAME)), F.when(F.col("resolved") & F.col("formula").isNotNull(), looked_up("MolecularFormula")),
-        _supplied(at("Concentration"), VALIDATED),
-    ]
-    measured = _entry(_path(F.col("property")), F.col("level"), MEASURED, "high")
-    fallback = F.coalesce("fallback", F.lit(False))
-    source = F.when(fallback, _entry(SOURCE_SMILES, "reference_database", FALLBACK_SMILES, "medium", compound, F.lit(FALLBACK_WARNING)))
+    source = F.when(F.col("fallback"), _entry(SOURCE_SMILES, "reference_database", FALLBACK_SMILES, "medium", compound, F.lit(FALLBACK_WARNING)))
     source = source.otherwise(_entry(SOURCE_SMILES, "reference_database", FULL_SMILES, "medium", compound))
-    parts = indexed(components, identities)
-    listed = lambda rows, part, place, entries: rows.select("product", F.lit(part).alias("part"), place.cast("long").alias("place"), F.array_compact(F.array(*entries)).alias("entries"))
-    rows = listed(products, 0, F.lit(0), own).unionByName(listed(parts, 1, F.col("index"), of_component))
-    rows = rows.unionByName(listed(properties.where("status = 'resolved'"), 2, _policy_number(), [measured]))
-    rows = rows.unionByName(listed(parts.where(F.col("resolved") & F.col("source_smiles").isNotNull()), 3, F.col("index"), [source]))
-    each = rows.select("product", "part", "place", F.posexplode("entries").alias("k", "e"))
-    out = numbered(each, "product", ["part", "place", "k"], "ordinal", F.struct("part", F.floor(F.col("place") / CELL).alias("cell")))
-    return out.select("product", "ordinal", "e.*")
+    entries = [
+        [_supplied(path, FROM_PRODUCT) for path in PRODUCT_FIELDS.values()],
+        [_supplied(at(GENERIC_NAME), FROM_COMPONENT), _supplied(at(CAS_NO), CHECKED), looked_up(IUPAC_NAME), looked_up("MolecularFormula"), _supplied(at("Concentration"), VALIDATED)],
+        [_entry(_path(F.col("property")), F.col("level"), MEASURED, "high")],
+        [source],
+    ]
+    of_part = F.lit(None).cast(f"array<{ENTRY}>")
+    for part, own in enumerate(entries):
+        has = [F.when(F.col("has").bitwiseAND(F.lit(1 << n)) != 0, e) for n, e in enumerate(own)]
+        of_part = F.when(F.col("part") == part, F.array_compact(F.array(*has))).otherwise(of_part)
+    each = rows.select("product", "start", F.posexplode_outer(of_part).alias("k", "e"))
+    return each.select("product", (F.col("start") + F.col("k")).alias("ordinal"), "e.*")
 
 
 def _policy_number() -> Column:
@@ -159,16 +209,21 @@ def unresolved(products: DataFrame, components: DataFrame, identities: DataFrame
     number that was not resolved is a missing input; if its lookup was ambiguous that
     replaces it, at the end of the list, and blocks the release. A measured property is
     open for the reason that ``resolution.resolved`` gives."""
+    return _apart(components, lambda rows, own, known, cells: _unresolved(own, rows, identities, known, cells), products, properties)
+
+
+def _unresolved(products: DataFrame, components: DataFrame, identities: DataFrame, properties: DataFrame, cells: bool) -> DataFrame:
     at = F.concat(F.lit(f"{ROWS}["), F.col("index").cast("string"), F.lit(f"].{CAS_NO}"))
-    parts = indexed(components, identities).where("cas is not null")
-    row = lambda rows, part, place, path, reason, stops: rows.select("product", F.lit(part).alias("part"), place.cast("long").alias("place"), path.alias("path"), reason.alias("reason"), stops.alias("blocks_release"))
-    missing = parts.where(~F.col("resolved") & (chemistry.cas_status(F.col("cas")) == "ok"))
-    rows = row(missing, 0, F.col("index"), at, F.lit("missing_input"), F.lit(False))
+    row = lambda rows, part, place, path, reason, stops: rows.select("product", part.alias("part"), place.cast("long").alias("place"), path.alias("path"), reason.alias("reason"), stops.alias("blocks_release"))
+    ambiguous = F.coalesce(F.col("outcome") == "ambiguous", F.lit(False))
+    missing = ~F.col("resolved") & (chemistry.cas_status(F.col("cas")) == "ok")
+    # an ambiguous number has one row only, as that replaces the other
+    parts = _indexed(components, identities, cells).where(F.col("cas").isNotNull() & (ambiguous | missing))
+    rows = row(parts, F.when(ambiguous, 2).otherwise(0), F.col("index"), at, F.when(ambiguous, "ambiguous_chemical_identity").otherwise("missing_input"), ambiguous)
     open_ = properties.where("status = 'unresolved'")
-    rows = rows.unionByName(row(open_, 1, _policy_number(), _path(F.col("property")), F.col("reason"), blocks(F.col("reason"))))
-    rows = rows.unionByName(row(parts.where("outcome = 'ambiguous'"), 2, F.col("index"), at, F.lit("ambiguous_chemical_identity"), F.lit(True)))
+    rows = rows.unionByName(row(open_, F.lit(1), _policy_number(), _path(F.col("property")), F.col("reason"), blocks(F.col("reason"))))
     last = upserted(rows.join(products.select("product"), "product", "left_semi"), "product", "path", ["part", "place"])
-    out = numbered(last, "product", ["part", "place"], "ordinal", F.struct("part", F.floor(F.col("place") / CELL).alias("cell")))
+    out = numbered(last, "product", ["part", "place"], "ordinal", _cells("place", "part") if cells else None)
     return out.select("product", "ordinal", "path", "reason", "blocks_release")
 
 

@@ -163,3 +163,16 @@ def test_names_in_a_source(spark):
     assert not value(spark, text.source_contains(F.lit("ab"), F.lit("a b")))
     assert value(spark, text.source_contains_cas(F.lit("CAS 64－17－ 5"), F.lit("64-17-5")))
     assert not value(spark, text.source_contains_cas(F.lit("CAS 64-17-6"), F.lit("64-17-5")))
+
+
+def test_a_filter_on_the_status_works_the_number_out_once(spark):
+    rows = spark.range(100).select(F.concat(F.col("id").cast("string"), F.lit("0-mark-0")).alias("c"))
+    plan = rows.where(chemistry.cas_status(F.col("c")) == "ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and next(x for x in plan.split("\n") if "Filter" in x).count("0-mark-0") == 1
+
+
+@pytest.mark.parametrize("cas", ["7-00-2", "50-00-0", "1234567-89-1", "9999999-99-5", "0-00-0"])
+def test_check_digit_is_the_weighted_sum(spark, cas):
+    digits = cas.replace("-", "")[-2::-1]
+    row = spark.createDataFrame([(cas,)], "c string").select(chemistry.cas_check_digit(F.col("c")).alias("d")).first()
+    assert row.d == sum(int(x) * n for n, x in enumerate(digits, 1)) % 10

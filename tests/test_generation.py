@@ -85,3 +85,21 @@ def test_property_sections(spark):
     assert got[2] == {"HazardIdentification": {"Classification": {"PhysicochemicalEffect": {"CorrosiveToMetals": "none (method: test C)"}}}}
     assert got[3]["PhysicalChemicalProperties"]["VapourPressure"] == [{"NumericRangeWithUnitAndQualifier": exact(3.0, "kPa"), "Condition": {"Temperature": 20.5, "Unit": "°C", "OtherCondition": "air"}}]
     assert got[4] == {}
+
+
+def test_lists_are_numbered_before_they_are_written_out(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    products, components, identities, properties = inputs(spark)
+    assert "Window" not in plan(generation.drafts(products, components, identities))
+    # components are put in order once for products with few of them and once for those with many
+    assert plan(generation.provenance(products, components, identities, properties)).count("Window [row_number()") <= 2
+
+
+def test_a_product_with_many_components_is_numbered_like_the_others(spark, monkeypatch):
+    got = {}
+    for cell in (2, 1_024):
+        monkeypatch.setattr(generation, "CELL", cell)
+        products, components, identities, properties = inputs(spark)
+        for of in (generation.provenance, generation.unresolved):
+            rows = of(products, components, identities, properties).orderBy("product", "ordinal").collect()
+            assert got.setdefault(of.__name__, rows) == rows
