@@ -373,25 +373,26 @@ def _candidates(shared: DataFrame, first: DataFrame, roots: DataFrame, least: Fr
     What two sets share is a key of both, which is counted, or lies behind the keys of one.
 
     Under a key each row meets those outside its group. A pair outside one group has a row
-    that is not of the key's largest group, so only such rows meet all others."""
+    that is not of the key's largest group, so only such rows meet all others. Rows carry
+    the parities of their sets, so that pairs these tell apart end where they meet: a family
+    of texts that are just not similar enough shares most of its keys."""
     of, to = least.numerator, least.denominator
     rows = shared.join(roots, shared.node == roots.node, "left").select("key", shared.node, "n", "behind", F.coalesce("root", shared.node).alias("root"))
     held = rows.groupBy("key", "root").count()
     main = held.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
-    rows = common.stored(rows.join(main, "key"))
+    rows = common.stored(rows.join(main, "key").join(first.select("node", "parity"), "node"))
     a, b = rows.where("root <> main").alias("a"), rows.alias("b")
     sizes = (F.col("a.n") * of <= F.col("b.n") * to) & (F.col("b.n") * of <= F.col("a.n") * to)
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & sizes)
+    odd = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITIES)), F.lit(0))
+    can = odd * (of + to) <= (F.col("a.n") + F.col("b.n")) * (to - of)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & sizes & can)
     swap = F.col("a.node") > F.col("b.node")
     u, v = (F.struct(*(F.col(f"{side}.{c}") for c in ("node", "root", "n", "behind"))) for side in ("a", "b"))
     ends = met.select(F.when(swap, v).otherwise(u).alias("x"), F.when(swap, u).otherwise(v).alias("y"))
     both = ends.groupBy("x", "y").agg(F.count("*").alias("both"))
-    both = both.where((F.col("both") + F.greatest("x.behind", "y.behind")) * (of + to) >= (F.col("x.n") + F.col("y.n")) * of)
-    pairs = both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), "both", F.col("x.root").alias("a"), F.col("y.root").alias("b"), (F.col("x.n") + F.col("y.n")).alias("sizes"))
-    one, other = (first.select(F.col("node").alias(k), F.col("parity").alias(f"parity_{k}")) for k in ("u", "v"))
-    odd = F.aggregate(F.zip_with("parity_u", "parity_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    can = pairs.join(one, "u").join(other, "v").where(odd * (of + to) <= F.col("sizes") * (to - of))
+    can = both.where((F.col("both") + F.greatest("x.behind", "y.behind")) * (of + to) >= (F.col("x.n") + F.col("y.n")) * of)
+    can = can.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), "both", F.col("x.root").alias("a"), F.col("y.root").alias("b"))
     out = common.stored(can.select("u", "v", "both", "a", "b"))
     common.discard(rows)
     return out
