@@ -29,12 +29,12 @@ on. ``one_of_each_group`` therefore has two steps.
    into more parts than that, one part at least is the same in both. A part is a few
    shingles from anywhere in the text, so texts that have a passage in common and are
    otherwise unlike hardly ever share one, however many texts have the passage.
-   Of the keys that more than CROWDED texts hold, each has a hub, the least text; a text
-   proposes the hub that it shares most keys with, which joins a group of near copies at a
-   linear cost. Then the texts that share a key and are not yet in one group propose each
-   other, if their sizes, the shared keys and the parities of their shingles' hashes allow
-   the similarity. Two groups try their pairs in rounds until one links them or all have
-   been tried.
+   Keys that the same texts hold are one key with a weight. Each key has a hub, one of its
+   texts; a text proposes the hub that it shares most keys with, which joins a group of near
+   copies at a linear cost, and does so again with other hubs. Then the texts that share a
+   key and are not yet in one group propose each other, if their sizes, the shared keys and
+   the parities of their shingles' hashes allow the similarity. Two groups try their pairs
+   in rounds until one links them or all have been tried.
 
 Every proposed pair, of either step, is decided by the exact Jaccard similarity of its
 texts. Only the texts of proposed pairs are fetched.
@@ -64,6 +64,8 @@ SAMPLED, COMMON_FROM, MOST_COMMON = 16, 3, 500_000
 SMALL = 32
 #: Longs of parity bits that a text's set is summed up in.
 PARITIES = 8
+#: Times that texts propose a hub, each time with other hubs.
+HUB_TURNS = 2
 
 
 def fingerprints(texts: pd.Series, words: int) -> np.ndarray:
@@ -350,47 +352,82 @@ def _common_shingles(docs: DataFrame, words: int, sampled: int) -> tuple[np.ndar
     return h[order], found["count"].to_numpy(dtype=np.int64)[order]
 
 
-def _block_pairs(first: DataFrame) -> DataFrame:
+def _possible(one: str, other: str, least: Fraction) -> Column:
+    """Whether the sizes ``n`` and the parities of two rows allow the similarity."""
+    of, to = least.numerator, least.denominator
+    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
+    odd = sum((F.bit_count(F.col(f"{one}.parity")[i].bitwiseXOR(F.col(f"{other}.parity")[i])) for i in range(PARITIES)), F.lit(0))
+    return (n * of <= m * to) & (m * of <= n * to) & (odd * (of + to) <= (n + m) * (to - of))
+
+
+def _best(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
+    """(u, v): for each u of ``pairs`` (u, v, weight) the v of most weight of those that
+    ``sketches`` (node, n, parity) allow, so never more rows than texts."""
+    one, other = (sketches.select(F.col("node").alias(k), "n", "parity").alias(f"of_{k}") for k in ("u", "v"))
+    can = pairs.join(one, "u").join(other, "v").where(_possible("of_u", "of_v", least))
+    return can.groupBy("u").agg(F.max_by("v", F.struct("weight", "v")).alias("v"))
+
+
+def _block_pairs(first: DataFrame, crowded: int) -> DataFrame:
     """(u, v): nodes of ``first`` (node, fp) whose fingerprints lie within two bits. Nodes
     of one fingerprint meet its least one, and least ones meet over the links."""
     least = common.stored(first.groupBy("fp").agg(F.min("node").alias("v")))
     same = first.join(least, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
     one, other = (least.select(F.col("fp").alias(f"fp_{k}"), F.col("v").alias(k)) for k in ("a", "b"))
-    near = links(least.select("fp"), 2).join(one, F.col("u") == F.col("fp_a")).join(other, F.col("v") == F.col("fp_b"))
+    near = links(least.select("fp"), 2, crowded).join(one, F.col("u") == F.col("fp_a")).join(other, F.col("v") == F.col("fp_b"))
     return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def _hub_pairs(shared: DataFrame, crowded: int) -> DataFrame:
-    """(u, v): each node of ``shared`` (key, node, held, hub) and the hub that it shares
-    the most crowded keys with, if it shares any."""
-    met = shared.where((F.col("held") > crowded) & (F.col("node") != F.col("hub"))).groupBy("node", "hub").count()
-    return met.groupBy(F.col("node").alias("u")).agg(F.max_by("hub", F.struct("count", "hub")).alias("v"))
+def _weighed(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, ...) without keys that one text alone holds; of the keys that the
+    same texts hold one stays, and ``weight`` says how many they are. Two near copies share
+    most of their keys with each other only and so meet once."""
+    of, also = F.bit_xor(F.xxhash64("node")).alias("of"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("also")
+    held = rows.groupBy("key").agg(F.count("*").alias("held"), of, also).where("held > 1")
+    kinds = held.groupBy("held", "of", "also").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    return rows.join(kinds.select("key", "weight"), "key")
+
+
+def _hub_pairs(shared: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """(u, v, weight): each node of ``shared`` (key, node, weight) and the hubs of its keys,
+    with the keys that have this hub. The texts outside a key's largest group of ``roots``
+    propose, and one of that group is the hub; another turn has other hubs."""
+    rows = shared.select("key", "node", "weight")
+    of = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+    if roots is None:
+        hubs = rows.groupBy("key").agg(F.min_by("node", of).alias("v"))
+        met = rows.join(hubs, "key").where(F.col("node") != F.col("v"))
+    else:
+        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        held = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", of).alias("hub"))
+        hubs = held.groupBy("key").agg(F.max_by(F.struct("hub", "root"), F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        met = rows.join(hubs.select("key", F.col("main.hub").alias("v"), F.col("main.root").alias("main")), "key").where(F.col("root") != F.col("main"))
+    return met.groupBy(F.col("node").alias("u"), "v").agg(F.sum("weight").alias("weight"))
 
 
 def _candidates(shared: DataFrame, first: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
-    """(u, v, both, a, b): the pairs of ``shared`` (key, node, n, behind) that share a key,
-    lie in different groups a and b of ``roots`` and can have the similarity ``least``.
-    What two sets share is a key of both, which is counted, or lies behind the keys of one.
+    """(u, v, both, a, b): the pairs of ``shared`` (key, node, n, behind and, if keys stand
+    for several, weight) that share a key, lie in different groups a and b of ``roots`` and
+    can have the similarity ``least``. What two sets share is a key of both, which is
+    counted, or lies behind the keys of one.
 
     Under a key each row meets those outside its group. A pair outside one group has a row
     that is not of the key's largest group, so only such rows meet all others. Rows carry
     the parities of their sets, so that pairs these tell apart end where they meet: a family
     of texts that are just not similar enough shares most of its keys."""
     of, to = least.numerator, least.denominator
-    rows = shared.join(roots, shared.node == roots.node, "left").select("key", shared.node, "n", "behind", F.coalesce("root", shared.node).alias("root"))
+    weight = F.col("weight") if "weight" in shared.columns else F.lit(1)
+    rows = shared.join(roots, shared.node == roots.node, "left").select("key", shared.node, "n", "behind", weight.alias("weight"), F.coalesce("root", shared.node).alias("root"))
     held = rows.groupBy("key", "root").count()
     main = held.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main")
     rows = common.stored(rows.join(main, "key").join(first.select("node", "parity"), "node"))
     a, b = rows.where("root <> main").alias("a"), rows.alias("b")
-    sizes = (F.col("a.n") * of <= F.col("b.n") * to) & (F.col("b.n") * of <= F.col("a.n") * to)
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    odd = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITIES)), F.lit(0))
-    can = odd * (of + to) <= (F.col("a.n") + F.col("b.n")) * (to - of)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & sizes & can)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & _possible("a", "b", least))
     swap = F.col("a.node") > F.col("b.node")
     u, v = (F.struct(*(F.col(f"{side}.{c}") for c in ("node", "root", "n", "behind"))) for side in ("a", "b"))
-    ends = met.select(F.when(swap, v).otherwise(u).alias("x"), F.when(swap, u).otherwise(v).alias("y"))
-    both = ends.groupBy("x", "y").agg(F.count("*").alias("both"))
+    ends = met.select(F.when(swap, v).otherwise(u).alias("x"), F.when(swap, u).otherwise(v).alias("y"), "a.weight")
+    both = ends.groupBy("x", "y").agg(F.sum("weight").alias("both"))
     can = both.where((F.col("both") + F.greatest("x.behind", "y.behind")) * (of + to) >= (F.col("x.n") + F.col("y.n")) * of)
     can = can.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), "both", F.col("x.root").alias("a"), F.col("y.root").alias("b"))
     out = common.stored(can.select("u", "v", "both", "a", "b"))
@@ -461,16 +498,23 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     row_of, hash_of = _row_key()
     marked = common.stored(docs.select("doc_id", "text").select(row_of.alias("row"), hash_of.alias("text_hash"), "doc_id", found.alias("s")).select("row", "text_hash", "doc_id", "s.*"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
-    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first"), F.first("fp").alias("fp"), F.first("parity").alias("parity")).select("node", "fp", "parity", "first.row", "first.text_hash", "first.doc_id"))
+    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity")).select("node", "fp", "n", "parity", "first.row", "first.text_hash", "first.doc_id"))
     rows = marked.select("node", "n", "behind", "keys").dropDuplicates(["node"]).select("node", "n", "behind", F.explode("keys").alias("key"))
-    rows = common.stored(rows.join(rows.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("hub")).where("held > 1"), "key"))
-    shared = rows
+    shared = common.stored(_weighed(rows))
     common.discard(marked)
 
-    proposed = common.stored(_block_pairs(first.select("node", "fp")).unionByName(_hub_pairs(shared, crowded)).distinct())
-    close = common.stored(_alike(proposed, _texts(docs, first, proposed), words, least))
-    roots = common.stored(common.components(close))
-    rest = _candidates(shared.select("key", "node", "n", "behind"), first.select("node", "parity"), roots, least)
+    sketches, close, roots = first.select("node", "n", "parity"), None, None
+    for turn in range(HUB_TURNS):
+        proposed = _best(_hub_pairs(shared, roots, turn), sketches, least)
+        if not turn:
+            proposed = proposed.unionByName(_best(_block_pairs(first.select("node", "fp"), crowded).withColumn("weight", F.lit(1)), sketches, least)).distinct()
+        proposed = common.stored(proposed)
+        found = common.stored(_alike(proposed, _texts(docs, first, proposed), words, least))
+        if turn and found.isEmpty():
+            break
+        close = close.unionByName(found) if close else found
+        roots = common.stored(common.components(close))
+    rest = _candidates(shared.select("key", "node", "n", "behind", "weight"), first.select("node", "parity"), roots, least)
     roots = _linked(rest, _texts(docs, first, rest), roots, words, least)
     group = F.coalesce("root", first.node)
     rooted = first.join(roots, first.node == roots.node, "left").select(group.alias("root"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row").alias("first"))
