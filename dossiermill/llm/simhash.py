@@ -382,7 +382,9 @@ def _weighed(rows: DataFrame) -> DataFrame:
     """``rows`` (key, node, ...) without keys that one text alone holds; of the keys that the
     same texts hold one stays, and ``weight`` says how many they are. Two near copies share
     most of their keys with each other only and so meet once."""
-    of, also = F.bit_xor(F.xxhash64("node")).alias("of"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("also")
+    of, also = F.bit_xor(F.xxhash64("node")).alias("of"), F.bit_xor(F.hash("node")).alias("also")
+    # few keys repeat in a part, so the rows are dealt by key before they are counted
+    rows = rows.repartition("key")
     held = rows.groupBy("key").agg(F.count("*").alias("held"), of, also).where("held > 1")
     kinds = held.groupBy("held", "of", "also").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
     return rows.join(kinds.select("key", "weight"), "key")
@@ -498,9 +500,9 @@ def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     row_of, hash_of = _row_key()
     marked = common.stored(docs.select("doc_id", "text").select(row_of.alias("row"), hash_of.alias("text_hash"), "doc_id", found.alias("s")).select("row", "text_hash", "doc_id", "s.*"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
-    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity")).select("node", "fp", "n", "parity", "first.row", "first.text_hash", "first.doc_id"))
-    rows = marked.select("node", "n", "behind", "keys").dropDuplicates(["node"]).select("node", "n", "behind", F.explode("keys").alias("key"))
-    shared = common.stored(_weighed(rows))
+    first = common.stored(marked.groupBy("node").agg(F.min(row).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("behind").alias("behind"), F.first("parity").alias("parity")).select("node", "fp", "n", "behind", "parity", "first.row", "first.text_hash", "first.doc_id"))
+    rows = marked.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    shared = common.stored(_weighed(rows).join(first.select("node", "n", "behind"), "node"))
     common.discard(marked)
 
     sketches, close, roots = first.select("node", "n", "parity"), None, None
