@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import unicodedata
 import zlib
 from fractions import Fraction
@@ -50,6 +51,49 @@ def test_components_of_nothing(spark):
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def with_settings(spark, settings, run):
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        return run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_components_take_as_many_tasks_as_their_edges_need(spark):
+    sc, pairs = spark.sparkContext, [(i, i + 1) for i in range(40)]
+
+    def run():
+        sc.setJobGroup("few tasks", "components")
+        got = common.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+        sc.setJobGroup("others", "")
+        return got
+
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    got = with_settings(spark, many, run)
+    assert {(r.node, r.root) for r in got} == {(n, 0) for n in range(41)} and len(got) == 41
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("few tasks") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    assert 64 < sum(info.numCompletedTasks for s in stages if (info := sc.statusTracker().getStageInfo(s))) < 64 * 8
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {name for n in range(found.size()) if (name := found.apply(n).getName()).startswith("shuffle_")}
+
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(cleanup)
+    got = common.stored(spark.range(1_000).groupBy(F.col("id") % 7).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and got.agg(F.sum("count")).first()[0] == 1_000 and spark.conf.get(cleanup) == setting
+
+
 def test_fresh_names():
     class Frame:
         columns = ["_Id", "_id_"]
