@@ -16,13 +16,14 @@ import random
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Edges = list[tuple[str, str]]
@@ -43,6 +44,12 @@ EDGES: Edges = [
 ORDERS = 64
 BACKGROUND = 32
 TREES, DEPTH = 20, 3
+#: Thresholds of a feature that are tried, and 65,536 rows at least that they are taken from.
+BINS = 256
+#: The column that says for how many rows a row stands.
+TIMES = "_times"
+#: Distinct rows that a task of a fit has.
+FIT_ROWS = 50_000
 
 
 def parents(features: list[str], edges: Edges) -> list[set[int]]:
@@ -142,12 +149,24 @@ def trees_of(model: GBTRegressionModel) -> Trees:
     return Trees(out)
 
 
-def boosted(rows: DataFrame, features: list[str], target: str, seed: int = 42) -> Trees:
-    """Gradient-boosted trees of ``target`` fitted to all rows; nulls are zeros."""
-    filled = rows.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in [*features, target]))
+def _filled(columns: list[str]) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+
+
+def boosted(rows: DataFrame, features: list[str], target: str, seed: int = 42, times: str | None = None) -> Trees:
+    """Gradient-boosted trees of ``target`` fitted to all rows; nulls are zeros. With ``times``
+    a row counts for so many."""
+    filled = rows.select(*_filled([*features, target]), *([] if times is None else [times]))
     vectors = VectorAssembler(inputCols=features, outputCol="_features").transform(filled)
-    model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=TREES, maxDepth=DEPTH, seed=seed).fit(vectors)
-    return trees_of(model)
+    model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=seed)
+    return trees_of((model if times is None else model.setWeightCol(times)).fit(vectors))
+
+
+def distinct_rows(rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(features, ``target``, TIMES): each distinct row of the features, nulls being zeros, with
+    the mean target and the number of the rows that it stands for. Least squares split these
+    as they split all rows, whose targets differ from that mean by the same at every split."""
+    return rows.select(*_filled([*features, target])).groupBy(*features).agg(F.avg(target).alias(target), F.count("*").alias(TIMES))
 
 
 def of_trees(x: np.ndarray, background: np.ndarray, walks: list[tuple[int, ...]], trees: Trees) -> np.ndarray:
@@ -206,7 +225,7 @@ def of_function(x: np.ndarray, background: np.ndarray, walks: list[tuple[int, ..
 def background_of(rows: DataFrame, key: str, features: list[str], size: int = BACKGROUND) -> np.ndarray:
     """``size`` rows, the first by a hash of their key."""
     first = rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(size)
-    return first.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features)).toPandas().to_numpy(dtype=float)
+    return first.select(*_filled(features)).toPandas().to_numpy(dtype=float)
 
 
 def attributed(rows: DataFrame, key: str, features: list[str], model: Trees | Callable[[np.ndarray], np.ndarray], background: np.ndarray, edges: Edges = EDGES, seed: int = 42, most: int = ORDERS) -> DataFrame:
@@ -225,20 +244,28 @@ def attributed(rows: DataFrame, key: str, features: list[str], model: Trees | Ca
                 found = of_trees(x, background, walks, model) if isinstance(model, Trees) else of_function(x, background, walks, model)
                 yield pd.DataFrame({key: part[key].to_numpy(), **{f"_{n}": found[:, n] for n in range(len(features))}})
 
-    filled = rows.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
+    filled = rows.select(key, *_filled(features))
     wide = filled.mapInPandas(run, f"`{key}` {kind}" + "".join(f", _{n} double" for n in range(len(features))))
     each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_{n}").alias("value")) for n, f in enumerate(features)))
     return wide.select(key, F.explode(each).alias("_of")).select(key, "_of.feature", "_of.value")
 
 
 def explained(rows: DataFrame, key: str, features: list[str], target: str, edges: Edges = EDGES, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """(seed, key, feature, value): ``target`` is fitted by boosted trees, once a seed, and
-    attributed to ``features``, which should hold neither the target nor its effects."""
-    # read by every fit and attribution
+    """(seed, feature, value, TIMES): ``target`` is fitted by boosted trees, once a seed, and
+    attributed to ``features``, which should hold neither the target nor its effects. Rows
+    with equal features have equal values: they are one row of the fit and of each feature's
+    values, with the number of them in TIMES. ``key`` chooses the background."""
     rows = rows.select(key, *features, target).persist(StorageLevel.MEMORY_AND_DISK)
-    background = background_of(rows, key, features)
+    # read by every fit and attribution
+    each = distinct_rows(rows, features, target).persist(StorageLevel.MEMORY_AND_DISK)
+    background, n = background_of(rows, key, features), each.count()
+    rows.unpersist()
+    # a fit is some seventy short jobs, whose tasks are as many as the rows need
+    dealt = each.coalesce(math.ceil(max(1, n) / FIT_ROWS))
+    with ThreadPool(max(1, len(seeds))) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(lambda seed: boosted(dealt, features, target, seed, TIMES)), seeds)
     out = None
-    for seed in seeds:
-        own = attributed(rows, key, features, boosted(rows, features, target, seed), background, edges, seed).select(F.lit(seed).alias("seed"), key, "feature", "value")
+    for seed, model in zip(seeds, models, strict=True):
+        own = attributed(each, TIMES, features, model, background, edges, seed).select(F.lit(seed).alias("seed"), "feature", "value", TIMES)
         out = own if out is None else out.unionByName(own)
     return out

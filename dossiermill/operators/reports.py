@@ -29,11 +29,13 @@ def retention_summary(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n_docs"), *means, best["doc"].alias("best"), worst["doc"].alias("worst"))
 
 
-def attribution(values: DataFrame) -> DataFrame:
+def attribution(values: DataFrame, times: str | None = None) -> DataFrame:
     """(feature, mean_abs, std_abs) over the seeds' mean absolute values. ``values`` is
-    (seed, feature, value), one row for a document and feature; a missing value is zero.
-    The deviation is that of a sample, null for one seed."""
-    by_seed = values.groupBy("seed", "feature").agg(F.avg(F.abs(F.coalesce("value", F.lit(0.0)))).alias("m"))
+    (seed, feature, value), one row for a document and feature, or for as many documents as
+    its column ``times`` says; a missing value is zero. The deviation is that of a sample,
+    null for one seed."""
+    size = F.abs(F.coalesce("value", F.lit(0.0)))
+    by_seed = values.groupBy("seed", "feature").agg((F.avg(size) if times is None else F.sum(size * F.col(times)) / F.sum(times)).alias("m"))
     return by_seed.groupBy("feature").agg(F.round(F.avg("m"), 6).alias("mean_abs"), F.round(F.stddev_samp("m"), 6).alias("std_abs"))
 
 

@@ -113,3 +113,23 @@ def test_rows_on_the_same_sides_are_worked_out_once(monkeypatch):
     x = np.linspace(-1, 1, 1_000).reshape(-1, 1)
     got = attribution.of_trees(x, np.array([[-1.0], [1.0]]), [(0,)], trees)
     assert max(sizes) <= 4 and np.allclose(got[:, 0], np.where(x[:, 0] <= 0, -1.0, 1.0))
+
+
+def test_equal_rows_are_fitted_and_attributed_once(spark, monkeypatch):
+    from dossiermill.operators import reports
+
+    few = rows(spark)
+    df = few.crossJoin(spark.range(1, 4).select(F.col("id").alias("copy"))).where("copy = 1 or k % 2 = 0").withColumn("y", F.col("y") + F.col("copy"))
+    df = df.withColumn("k", F.col("k") * 10 + F.col("copy")).drop("copy")
+    sizes, boosted = [], attribution.boosted
+    monkeypatch.setattr(attribution, "boosted", lambda part, *rest: (sizes.append(part.count()), boosted(part, *rest))[1])
+    found = attribution.explained(df, "k", FEATURES, "y", EDGES, seeds=(1, 2)).toPandas()
+    assert sizes == [300, 300] and len(found) == 2 * 300 * len(FEATURES)
+    assert found.groupby(["seed", "feature"])[attribution.TIMES].sum().eq(df.count()).all()
+    background = attribution.background_of(df, "k", FEATURES)
+    every = [attribution.attributed(df, "k", FEATURES, boosted(df, FEATURES, "y", s), background, EDGES, s).select(F.lit(s).alias("seed"), "feature", "value") for s in (1, 2)]
+    want = {r.feature: r for r in reports.attribution(every[0].unionByName(every[1])).collect()}
+    got = {r.feature: r for r in reports.attribution(spark.createDataFrame(found), attribution.TIMES).collect()}
+    assert got.keys() == want.keys()
+    for f in want:
+        assert (got[f].mean_abs, got[f].std_abs) == pytest.approx((want[f].mean_abs, want[f].std_abs), abs=1e-5)
