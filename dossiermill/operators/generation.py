@@ -76,8 +76,13 @@ def _cells(place: str, *first: str) -> Column:
 
 def _apart(components: DataFrame, of: Callable[..., DataFrame], *tables: DataFrame) -> DataFrame:
     """``of(components, *tables, cells)`` of the products with few components, without cells,
-    and of those with more than CELL, with them. Every table has a column ``product``."""
-    large = F.broadcast(components.groupBy("product").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL).select("product"))
+    and of those with more than CELL, with them. Every table has a column ``product``. The
+    large products are looked for at once, since a plan of both kinds does all steps twice."""
+    large = components.groupBy("product").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL).select("product").persist()
+    if large.isEmpty():
+        large.unpersist()
+        return of(components, *tables, False)
+    large = F.broadcast(large)
     few, many = ([t.join(large, "product", how) for t in (components, *tables)] for how in ("left_anti", "left_semi"))
     return of(*few, False).unionByName(of(*many, True))
 
@@ -92,14 +97,14 @@ def _looked_up(components: DataFrame, identities: DataFrame) -> DataFrame:
     return components.join(known, F.col("cas") == F.col("_cas"), "left").drop("_cas").withColumn("resolved", F.coalesce(F.col("outcome") == "resolved", F.lit(False)))
 
 
-def _indexed(components: DataFrame, identities: DataFrame, cells: bool) -> DataFrame:
-    return numbered(_looked_up(components, identities), "product", KEYS, "index", _cells("pos") if cells else None)
+def _indexed(components: DataFrame, cells: bool) -> DataFrame:
+    return numbered(components, "product", KEYS, "index", _cells("pos") if cells else None)
 
 
 def indexed(components: DataFrame, identities: DataFrame) -> DataFrame:
     """``components`` with their ``index`` in the product and what their number's lookup
     returned."""
-    return _apart(components, lambda rows, cells: _indexed(rows, identities, cells))
+    return _apart(components, lambda rows, cells: _looked_up(_indexed(rows, cells), identities))
 
 
 def drafts(products: DataFrame, components: DataFrame, identities: DataFrame) -> DataFrame:
@@ -160,10 +165,12 @@ def _provenance(products: DataFrame, components: DataFrame, identities: DataFram
     # lists are numbered by what they have, before their entries are written out
     none = {"cid": F.lit(None).cast("string"), "fallback": F.lit(False), "property": F.lit(None).cast("string"), "level": F.lit(None).cast("string")}
     listed = lambda rows, part, place, has, **own: rows.select("product", part.cast("int").alias("part"), place.cast("long").alias("place"), has.alias("has"), *(c.alias(n) for n, c in (none | own).items())).where("has <> 0")
-    of_component = _bits(F.col("name").isNotNull(), F.col("cas").isNotNull(), F.col("resolved") & F.col("iupac_name").isNotNull(), F.col("resolved") & F.col("formula").isNotNull(), F.lit(True))
+    of_component = _bits(F.col("named"), F.col("cas").isNotNull(), F.col("resolved") & F.col("iupac_name").isNotNull(), F.col("resolved") & F.col("formula").isNotNull(), F.lit(True))
     structure = _bits(F.col("resolved") & F.col("source_smiles").isNotNull())
     two = F.explode(F.array(*(F.struct(F.lit(part).alias("part"), has.alias("has")) for part, has in ((1, of_component), (3, structure)))))
-    parts = _indexed(components, identities, cells).select("product", "index", "cid", "fallback", two.alias("l"))
+    # a component meets its lookup with its number, not with what it was put in order by
+    indexed = _indexed(components, cells).select("product", "index", "cas", F.col("name").isNotNull().alias("named"))
+    parts = _looked_up(indexed, identities).select("product", "index", "cid", "fallback", two.alias("l"))
     rows = listed(products, F.lit(0), F.lit(0), _bits(*(given[c] for c in PRODUCT_FIELDS)))
     rows = rows.unionByName(listed(parts, F.col("l.part"), F.col("index"), F.col("l.has"), cid=F.col("cid").cast("string"), fallback=F.coalesce("fallback", F.lit(False))))
     rows = rows.unionByName(listed(properties.where("status = 'resolved'"), F.lit(2), _policy_number(), F.lit(1), property=F.col("property"), level=F.col("level")))
@@ -218,7 +225,7 @@ def _unresolved(products: DataFrame, components: DataFrame, identities: DataFram
     ambiguous = F.coalesce(F.col("outcome") == "ambiguous", F.lit(False))
     missing = ~F.col("resolved") & (chemistry.cas_status(F.col("cas")) == "ok")
     # an ambiguous number has one row only, as that replaces the other
-    parts = _indexed(components, identities, cells).where(F.col("cas").isNotNull() & (ambiguous | missing))
+    parts = _looked_up(_indexed(components, cells), identities).where(F.col("cas").isNotNull() & (ambiguous | missing))
     rows = row(parts, F.when(ambiguous, 2).otherwise(0), F.col("index"), at, F.when(ambiguous, "ambiguous_chemical_identity").otherwise("missing_input"), ambiguous)
     open_ = properties.where("status = 'unresolved'")
     rows = rows.unionByName(row(open_, F.lit(1), _policy_number(), _path(F.col("property")), F.col("reason"), blocks(F.col("reason"))))

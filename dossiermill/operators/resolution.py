@@ -53,34 +53,37 @@ def entry_reasons(entries: DataFrame, sources: DataFrame) -> DataFrame:
     return entries.join(first, ["product", "evidence_id"], "left").withColumn("reason", reason)
 
 
-def _judged(products: DataFrame, entries: DataFrame, sources: DataFrame) -> tuple[DataFrame, Column]:
-    """(product, property, best: the first eligible entry) of every product and property, and
-    the reason why it is not resolved (null if it is)."""
-    kept = dict.fromkeys(["value", "method", "temperature", "level", *entries.columns])
-    checked = entry_reasons(entries, sources)
+def _judged(products: DataFrame, entries: DataFrame, sources: DataFrame, kept: list[str]) -> tuple[DataFrame, Column]:
+    """(product, property, best: the columns ``kept`` of the first eligible entry) of every
+    product and property, and the reason why it is not resolved (null if it is)."""
+    # what an entry lacks is said once, so that what says so need not be carried along
+    lacks = F.col("method").isNull() | (F.col("property").isin(NEEDS_TEMPERATURE) & F.col("temperature").isNull())
+    checked = entry_reasons(entries.withColumn("_lacks", lacks), sources)
     ok = F.col("reason").isNull()
+    value = F.when(ok, F.col("value"))
     grouped = checked.groupBy("product", "property").agg(
         F.min_by("reason", F.when(~ok, F.col("pos"))).alias("first_reason"),
-        F.count_distinct(F.when(ok, F.col("value"))).alias("values"),
-        F.min_by(F.struct(*(c for c in kept if c not in ("product", "property", "pos"))), F.when(ok, F.col("pos"))).alias("best"),
-        F.count_if(ok).alias("eligible"),
+        # values are not counted, for which they would be dealt out a second time
+        (F.min(value) < F.max(value)).alias("differ"),
+        F.min_by(F.struct(*kept, "_lacks"), F.when(ok, F.col("pos"))).alias("best"),
+        F.bool_or(ok).alias("eligible"),
     )
     names = F.explode(F.array(*map(F.lit, POLICIES))).alias("property")
     every = products.select("product", names).join(grouped, ["product", "property"], "left")
-    incomplete = F.col("best.method").isNull() | (F.col("property").isin(NEEDS_TEMPERATURE) & F.col("best.temperature").isNull())
     reason = (
         F.when(F.col("eligible").isNull(), "human_review_required")
-        .when(F.col("eligible") == 0, F.col("first_reason"))
-        .when(F.col("values") > 1, "conflicting_sources")
-        .when(incomplete, "insufficient_measurement_conditions")
+        .when(~F.col("eligible"), F.col("first_reason"))
+        .when(F.col("differ"), "conflicting_sources")
+        .when(F.coalesce("best._lacks", F.lit(True)), "insufficient_measurement_conditions")
     )
     return every, reason
 
 
 def resolving_entries(products: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
     """The entry that resolves each property that is resolved, with all its columns."""
-    every, reason = _judged(products, entries, sources)
-    return every.where(reason.isNull()).select("product", "property", "best.*")
+    kept = [c for c in dict.fromkeys(["value", "method", "temperature", "level", *entries.columns]) if c not in ("product", "property", "pos")]
+    every, reason = _judged(products, entries, sources, kept)
+    return every.where(reason.isNull()).select("product", "property", *(F.col("best")[c].alias(c) for c in kept))
 
 
 def resolved(products: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def resolved(products: DataFrame, entries: DataFrame, sources: DataFrame) -> Dat
     property. Without entries a human has to decide; if no entry is eligible the first
     entry's reason holds; eligible entries that disagree are a conflict; the first
     eligible entry needs a method, and vapour pressure a temperature."""
-    every, reason = _judged(products, entries, sources)
+    every, reason = _judged(products, entries, sources, ["value", "level"])
     status = F.when(reason.isNull(), "resolved").otherwise("unresolved")
     return every.select("product", "property", status.alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("best.value")).alias("value"), F.when(reason.isNull(), F.col("best.level")).alias("level"))
 

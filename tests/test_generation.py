@@ -103,3 +103,16 @@ def test_a_product_with_many_components_is_numbered_like_the_others(spark, monke
         for of in (generation.provenance, generation.unresolved):
             rows = of(products, components, identities, properties).orderBy("product", "ordinal").collect()
             assert got.setdefault(of.__name__, rows) == rows
+
+
+def test_steps_are_done_once_without_large_products(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for cell, times in ((1_024, 1), (2, 3)):
+        monkeypatch.setattr(generation, "CELL", cell)
+        assert plan(generation.provenance(*inputs(spark))).count("Window [row_number()") == times
+
+
+def test_a_component_meets_its_lookup_without_its_quantities(spark):
+    plan = generation.provenance(*inputs(spark))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Window [row_number()" in line or "Join LeftOuter, (cas" in line]
+    assert len(joins) == 2 and "Join" in joins[0] and "Window" in joins[1]

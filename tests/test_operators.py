@@ -180,3 +180,23 @@ def test_the_first_rows_of_a_stratum_are_found_before_the_shuffle(spark):
     sample = manifest.stratified(docs, "supplier", "lang", 10, F.xxhash64("doc"))
     assert sorted(r["count"] for r in sample.groupBy("lang").count().collect()) == [5, 5]
     assert "WindowGroupLimit" in sample._jdf.queryExecution().toString()
+
+
+def test_evidence_is_dealt_out_four_times(spark):
+    """Products, entries and sources once each, and what they come to by property."""
+    products = spark.range(50).select(F.col("id").alias("product"))
+    e = spark.range(200).select((F.col("id") % 50).alias("product"), F.when(F.col("id") >= 0, "FlashPoint").alias("property"), F.col("id").alias("pos"), F.when(F.col("id") > 9, F.col("id") % 100).alias("value"), F.when(F.col("id") >= 0, "E").alias("evidence_id"), F.when(F.col("id") % 3 > 0, "m").alias("method"), F.lit(None).cast("double").alias("temperature"))
+    s = products.select("product", F.when(F.col("product") >= 0, "E").alias("id"), F.lit(0).alias("pos"), F.lit("product_test_report").alias("level"), F.lit("finished_product").alias("applies_to"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = resolution.resolved(products, e, s)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r.product: r.reason for r in found.where("property = 'FlashPoint'").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 4
+    # the values are p and p + 50, of the first ten products a null beside them, which is no other value
+    assert got == {p: "conflicting_sources" for p in range(50)}
+    only = resolution.resolved(products, e.where("id < 50 or id >= 100 and id < 150"), s).where("property = 'FlashPoint'")
+    assert {r.product: r.reason for r in only.collect()} == {p: "insufficient_measurement_conditions" if p % 3 == 0 else None for p in range(50)}
