@@ -220,18 +220,23 @@ def unresolved(products: DataFrame, components: DataFrame, identities: DataFrame
 
 
 def _unresolved(products: DataFrame, components: DataFrame, identities: DataFrame, properties: DataFrame, cells: bool) -> DataFrame:
-    at = F.concat(F.lit(f"{ROWS}["), F.col("index").cast("string"), F.lit(f"].{CAS_NO}"))
-    row = lambda rows, part, place, path, reason, stops: rows.select("product", part.alias("part"), place.cast("long").alias("place"), path.alias("path"), reason.alias("reason"), stops.alias("blocks_release"))
+    row = lambda rows, part, place, reason: rows.select("product", part.alias("part"), place.cast("long").alias("place"), reason.alias("reason"))
     ambiguous = F.coalesce(F.col("outcome") == "ambiguous", F.lit(False))
     missing = ~F.col("resolved") & (chemistry.cas_status(F.col("cas")) == "ok")
     # an ambiguous number has one row only, as that replaces the other
-    parts = _looked_up(_indexed(components, cells), identities).where(F.col("cas").isNotNull() & (ambiguous | missing))
-    rows = row(parts, F.when(ambiguous, 2).otherwise(0), F.col("index"), at, F.when(ambiguous, "ambiguous_chemical_identity").otherwise("missing_input"), ambiguous)
-    open_ = properties.where("status = 'unresolved'")
-    rows = rows.unionByName(row(open_, F.lit(1), _policy_number(), _path(F.col("property")), F.col("reason"), blocks(F.col("reason"))))
-    last = upserted(rows.join(products.select("product"), "product", "left_semi"), "product", "path", ["part", "place"])
+    numbers = _indexed(components, cells).where("cas is not null").select("product", "index", "cas")
+    parts = _looked_up(numbers, identities.select("cas", "outcome")).where(ambiguous | missing)
+    rows = row(parts, F.when(ambiguous, 2).otherwise(0), F.col("index"), F.when(ambiguous, "ambiguous_chemical_identity").otherwise("missing_input"))
+    rows = rows.unionByName(row(properties.where("status = 'unresolved'"), F.lit(1), _policy_number(), F.col("reason")))
+    # a field is a part and a place here; its path is written out in the end
+    of_property = F.col("part") == 1
+    rows = rows.join(products.select("product"), "product", "left_semi").withColumn("field", F.struct(of_property.alias("property"), "place"))
+    last = upserted(rows, "product", "field", ["part", "place"])
     out = numbered(last, "product", ["part", "place"], "ordinal", _cells("place", "part") if cells else None)
-    return out.select("product", "ordinal", "path", "reason", "blocks_release")
+    at = F.concat(F.lit(f"{ROWS}["), F.col("place").cast("string"), F.lit(f"].{CAS_NO}"))
+    path = F.when(of_property, _path(F.get(F.array(*map(F.lit, POLICIES)), (F.col("place") - 1).cast("int")))).otherwise(at)
+    stops = F.when(of_property, blocks(F.col("reason"))).otherwise(F.col("part") == 2)
+    return out.select("product", "ordinal", path.alias("path"), "reason", stops.alias("blocks_release"))
 
 
 def plain_number(c: Column) -> Column:

@@ -116,3 +116,18 @@ def test_a_component_meets_its_lookup_without_its_quantities(spark):
     plan = generation.provenance(*inputs(spark))._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Window [row_number()" in line or "Join LeftOuter, (cas" in line]
     assert len(joins) == 2 and "Join" in joins[0] and "Window" in joins[1]
+
+
+def test_paths_of_open_fields_are_written_out_in_the_end(spark):
+    plan = generation.unresolved(*inputs(spark))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    first = next(n for n, line in enumerate(lines) if "Window [" in line)
+    assert generation.CAS_NO in "".join(lines[:first]) and generation.CAS_NO not in "".join(lines[first:])
+
+
+def test_an_unknown_property_that_is_open_has_no_path(spark):
+    products, components, identities, _ = inputs(spark)
+    properties = spark.createDataFrame([(3, p, "unresolved", reason, None, None) for p, reason in (("Odour", "human_review_required"), ("VapourPressure", "conflicting_sources"), ("FlashPoint", "missing_input"))], PROPERTIES)
+    rows = generation.unresolved(products, components, identities, properties).where("product = 3").orderBy("ordinal").collect()
+    paths = generation.PROPERTY_PATHS
+    assert [(r.path, r.blocks_release) for r in rows] == [(None, False), (paths["FlashPoint"], False), (paths["VapourPressure"], True)]
