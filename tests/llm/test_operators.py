@@ -809,3 +809,23 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([(1, "some words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() == 0 and {"shard", "slot", *extra} <= set(got.columns)
+
+
+def test_texts_are_dealt_out_once_to_meet_contexts_and_ranges(spark):
+    word = lambda n: hashlib.md5(str(n).encode()).hexdigest()[:7]
+    passage = " ".join(word(n) for n in range(60))
+    texts = [(n, " ".join(word(1_000 * n + k) for k in range(100, 160)) + passage + str(n)) for n in range(1, 20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = repeats.without_repeats(docs)
+        got = {r.doc_id: r for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReusedExchange" in plan.partition("== Initial Plan ==")[0]
+    first = texts[0][1].encode()
+    assert got[1].kept == first and not got[1].spans
+    for n, text in texts[1:]:
+        assert len(got[n].kept) < len(text) - len(passage) + 20 and passage.encode() not in got[n].kept
